@@ -15,9 +15,34 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op9_exact_topk,)}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.warc import warc_round_trip
+
+    return warc_round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidewell.llm.bpe import bpe_encode
+
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return bpe_encode(table(spark, sf_dir, "documents"), tokenizer, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op7_bpe, op9_exact_topk)}
 
 SQL = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, 5 * (k // 4)::INT + 1, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+  url AS target_uri
+FROM f""",
     "op9_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
