@@ -21,6 +21,25 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.textmodel import quality_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.cube_mix import cube_mix
+
+    return cube_mix(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,7 +49,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), tokenizer, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op7_bpe, op9_exact_topk)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_language_id, op5_quality, op6_cube_mix, op7_bpe, op9_exact_topk)}
 
 SQL = {
     "op2_warc": """
