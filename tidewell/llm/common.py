@@ -68,3 +68,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
     return x
+
+
+_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _P and of its inverse, modulo 2**64."""
+    if len(_POWERS.get("up", ())) < n:
+        size = max(n, 1 << 20)
+        with np.errstate(over="ignore"):
+            for key, base in (("up", _P), ("down", pow(_P, -1, 2**64))):
+                factors = np.full(size, base, np.uint64)
+                factors[0] = 1
+                _POWERS[key] = np.cumprod(factors, dtype=np.uint64)
+    return _POWERS["up"][:n], _POWERS["down"][:n]

@@ -12,13 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import mix64
+from tidewell.llm.common import mix64, powers
 
 GRAMS = (3, 4, 5)
 _SPACE = 32
-_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _PIECE = 1 << 20  # bytes that are hashed at once
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -26,18 +24,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _P and of its inverse, modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, _PIECE + 64)
-        with np.errstate(over="ignore"):
-            for key, base in (("up", _P), ("down", pow(_P, -1, 2**64))):
-                factors = np.full(size, base, np.uint64)
-                factors[0] = 1
-                _POWERS[key] = np.cumprod(factors, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
 def features(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of whole texts: (position of the text, bucket) for each feature, in no particular order.
 
@@ -71,7 +57,7 @@ def features(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
         edge = np.diff(word.astype(np.int8))
         start, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
         if len(start):
-            up, down = _powers(len(b) + 1)
+            up, down = powers(len(b) + 1)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
             h = (sums[end] - sums[start]) * down[start]
             owner = text_at[start]
