@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import table
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.pii import pii_spans
+
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.pivot_topk import pivot_topk
 
@@ -61,7 +67,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, similarity=(90, 100))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_warc, op3_language_id, op5_quality, op6_cube_mix, op7_bpe, op9_exact_topk, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_warc, op3_language_id, op5_quality, op6_cube_mix, op7_bpe, op8_pii, op9_exact_topk, op10_ngram_jaccard)}
 
 SQL = {
     "op10_ngram_jaccard": r"""
