@@ -39,6 +39,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=100)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.textmodel import quality_scores
 
@@ -67,7 +73,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, similarity=(90, 100))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_warc, op3_language_id, op5_quality, op6_cube_mix, op7_bpe, op8_pii, op9_exact_topk, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_warc, op3_language_id, op4_suffix_dedup, op5_quality, op6_cube_mix, op7_bpe, op8_pii, op9_exact_topk, op10_ngram_jaccard)}
 
 SQL = {
     "op10_ngram_jaccard": r"""
