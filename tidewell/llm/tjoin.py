@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import mix64, powers, saved
-from tidewell.llm.components import components
+from tidewell.llm.components import components, forest
 
 _SPACE = 32
 _PREFIX_UP_TO = 40
+_EDGES = 1 << 20
 _SIZE, _EQUAL, _NEAR, _OPEN = 0, 1, 2, 3  # kinds of rows: size of a set, equal sets, sets to compare, sets to divide again
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -91,14 +92,14 @@ class Division:
             return 0, 0
         d = high * (self.den - self.num) // self.num
         m = d + 1
-        while True:  # parts that are not empty, six standard deviations below the mean, still exceed d
-            none, two = (1 - 1 / m) ** low, (1 - 2 / m) ** low
-            mean, var = m * (1 - none), m * none + m * (m - 1) * two - (m * none) ** 2
-            if mean - 6 * math.sqrt(max(0.0, var)) >= d + 1:
+        while True:  # the chance that m - d parts of m are empty for the class's smallest sets (union bound)
+            e = m - d
+            chance = math.lgamma(m + 1) - math.lgamma(e + 1) - math.lgamma(d + 1) + low * math.log(d / m) if d else -math.inf
+            if chance <= math.log(1e-15):
                 return m, d
-            if m > 4 * d + 8:  # low similarities: no division is fine enough
+            if m > low:  # low similarities: no division is fine enough
                 return 0, 0
-            m += max(1, m // 64)
+            m += 1
 
     def prefix(self, n: int) -> int:
         return n - -(-n * self.num // self.den) + 1
@@ -153,11 +154,12 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _BLOB = "kind int, bucket int, a long, b long, keys binary, ids binary"
 
 
-def _emit(kind: int, bucket: int, a, b) -> pa.RecordBatch:
+def _emit(kind: int, a, b) -> pa.RecordBatch:
+    """Rows that only pass through, dealt over all tasks."""
     n = len(a)
     none = pa.nulls(n, pa.binary())
     a = a if isinstance(a, pa.Array) else pa.array(a, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), a, pa.array(b, pa.int64()), none, none], ["kind", "bucket", "a", "b", "keys", "ids"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array((-1 - np.arange(n) % 1009).astype(np.int32)), a, pa.array(b, pa.int64()), none, none], ["kind", "bucket", "a", "b", "keys", "ids"])
 
 
 def _hash_sets(n: int, num: int, den: int, seed: int, buckets: int):
@@ -176,7 +178,7 @@ def _hash_sets(n: int, num: int, den: int, seed: int, buckets: int):
                 k, i = np.concatenate(k), np.concatenate([x for x, z in zip(ids, kinds) if z == kind])
                 k, i, other, first = _stars(k, i)
                 if len(other):
-                    yield _emit(kind, 0, *_pairs(other, first))
+                    yield _emit(kind, *_pairs(other, first))
                 at = (k % top).astype(np.int32)
                 order = np.argsort(at, kind="stable")
                 k, i, at = k[order], i[order], at[order]
@@ -208,28 +210,50 @@ def _hash_sets(n: int, num: int, den: int, seed: int, buckets: int):
                     yield from flush()
                     keys, ids, kinds, held = [], [], [], 0
             if seed == 0:
-                yield _emit(_SIZE, 0, batch.column(0).cast(pa.int64()), sizes)
+                yield _emit(_SIZE, batch.column(0).cast(pa.int64()), sizes)
             if open_ids:
-                yield _emit(_OPEN, 0, open_ids, open_ids)
+                yield _emit(_OPEN, open_ids, open_ids)
         yield from flush()
 
     return run
 
 
 def _match(batches):
-    """Rows of a bucket come together, its packed keys one after another; everything else passes through."""
+    """Rows of a bucket come together, its packed keys one after another; everything else passes through.
+
+    Sets to compare are contracted to a spanning forest over all of a task's buckets: only their components are used.
+    """
     held_keys, held_ids, held_at = [], [], None
+    near: list[tuple[np.ndarray, np.ndarray]] = []
     names = ["kind", "a", "b"]
 
+    def rows(kind, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
+
     def flush():
         _, _, other, first = _stars(np.concatenate(held_keys), np.concatenate(held_ids))
         a, b = _pairs(other, first)
+        if held_at[0] == _NEAR:
+            yield from compare(a, b)
+        elif len(a):
+            yield rows(held_at[0], a, b)
+
+    def compare(a, b, last=False):
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), held_at[0], np.int32)), pa.array(a), pa.array(b)], names)
+            near.append((a, b))
+        if near and (last or sum(len(x) for x, _ in near) > _EDGES):
+            a, b = forest(np.concatenate([x for x, _ in near]), np.concatenate([y for _, y in near]))
+            near.clear()
+            if last or len(a) > _EDGES // 2:
+                yield rows(_NEAR, a, b)
+            else:
+                near.append((a, b))
 
     for batch in batches:
         packed = batch.column("keys").is_valid()
-        plain = batch.filter(pa.compute.invert(packed))
+        plain = batch.filter(pa.compute.and_(pa.compute.invert(packed), pa.compute.equal(batch.column("kind"), _NEAR)))
+        yield from compare(plain.column("a").to_numpy(), plain.column("b").to_numpy())
+        plain = batch.filter(pa.compute.and_(pa.compute.invert(packed), pa.compute.not_equal(batch.column("kind"), _NEAR)))
         if len(plain):
             yield pa.RecordBatch.from_arrays([plain.column("kind"), plain.column("a"), plain.column("b")], names)
         for row in batch.filter(packed).to_pylist():
@@ -242,6 +266,8 @@ def _match(batches):
             held_ids.append(np.frombuffer(row["ids"], np.int64))
     if held_keys:
         yield from flush()
+    none = np.zeros(0, np.int64)
+    yield from compare(none, none, True)
 
 
 def search_block(sets: list[np.ndarray], divide: Division) -> np.ndarray:
@@ -312,7 +338,7 @@ def _merge(lists: list[np.ndarray], least: int, n: int):
         yield last, count
 
 
-def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), block: int = 8192, bucket_docs: int = 32768) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), block: int = 8192, bucket_docs: int = 131072) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id long, text).
 
     A document's set holds its distinct ``n``-word shingles (words: runs of characters other than ASCII white space, with
@@ -366,7 +392,7 @@ def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90,
         def flush():
             rows = sorted(held)
             ids = np.array([r[0] for r in rows], np.int64)
-            label = search_block([np.frombuffer(r[1], np.uint64) for r in rows if True], divide)
+            label = search_block([np.frombuffer(r[1], np.uint64) for r in rows], divide)
             own = np.flatnonzero(ids[label] != ids)
             return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label][own])], ["a", "b"])
 
