@@ -124,20 +124,25 @@ class Store:
     def drop_database(self) -> None:
         self.spark.sql(f"DROP DATABASE IF EXISTS `{self.database}` CASCADE")
 
+    def _table(self, dataset: str) -> DataFrame:
+        """The table as it is now: other sessions (streams write from one of their own) may have added files."""
+        self.spark.catalog.refreshTable(self.name(dataset))
+        return self.spark.table(self.name(dataset))
+
     def open(self, dataset: str) -> Dataset:
-        return Dataset(self.spark.table(self.name(dataset)))
+        return Dataset(self._table(dataset))
 
     def append(self, dataset: str, rows: DataFrame, batch_id: str | None = None) -> bool:
         """Appends; a batch id that the ledger holds is skipped (False).  The schema must be the table's."""
         if self.mode == "update-only":
             raise PermissionError("appending is locked")
-        target = self.spark.table(self.name(dataset))
+        target = self._table(dataset)
         if [(f.name, f.dataType) for f in rows.schema] != [(f.name, f.dataType) for f in target.schema]:
             raise TypeError("schema differs from the table's")
         if batch_id is not None:
             ledger = self.name("_batches")
             self.spark.sql(f"CREATE TABLE IF NOT EXISTS {ledger} (dataset STRING, batch_id STRING) USING parquet")
-            known = self.spark.table(ledger).where((F.col("dataset") == dataset) & (F.col("batch_id") == batch_id))
+            known = self._table("_batches").where((F.col("dataset") == dataset) & (F.col("batch_id") == batch_id))
             if known.limit(1).count():
                 return False
         rows.write.format("parquet").mode("append").insertInto(self.name(dataset))
@@ -147,7 +152,7 @@ class Store:
 
     def health(self) -> DataFrame:
         """dataset, rows, files for every dataset."""
-        parts = [self.spark.table(self.name(n)).agg(F.lit(n).alias("dataset"), F.count("*").alias("rows"), F.count_distinct(F.col("_metadata.file_path")).alias("files")) for n in self.names()]
+        parts = [self._table(n).agg(F.lit(n).alias("dataset"), F.count("*").alias("rows"), F.count_distinct(F.col("_metadata.file_path")).alias("files")) for n in self.names()]
         out = self.spark.createDataFrame([], "dataset string, rows long, files long")
         for p in parts:
             out = out.unionByName(p)
