@@ -292,17 +292,28 @@ def search_block(sets: list[np.ndarray], divide: Division) -> np.ndarray:
             leaders = [*leaders[-7:], int(i)]
     if (label == label[0]).all():
         return label
-    at = np.repeat(np.arange(n), sizes)
-    tokens, token = np.unique(np.concatenate(sets), return_inverse=True)
-    by = np.argsort(token, kind="stable")
-    lists = np.split(at[by], np.cumsum(np.bincount(token, minlength=len(tokens)))[:-1])  # inverted lists, ascending
-    of = np.split(token, np.cumsum(sizes)[:-1])
+    # inverted lists, ascending, one after another; a shingle of one set only has no list
+    at = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    tokens = np.concatenate(sets)
+    by = np.argsort(tokens, kind="stable")
+    tokens, at = tokens[by], at[by]
+    new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+    heads = np.flatnonzero(new)
+    lengths = np.diff(np.concatenate([heads, [len(at)]]))
+    of = np.empty(len(by), np.int32)
+    of[by] = (np.cumsum(new) - 1).astype(np.int32)
+    del tokens, by, new
+    ends = np.cumsum(sizes)
     for i in order[::-1]:
         size = sizes[i]
         need = -(-size * divide.num // divide.den)  # sets up to this one's size; larger ones search themselves
-        own = sorted((lists[t] for t in of[i]), key=len)
-        longest = max(2, len(own[-1]))
-        n_long = min(need - 1, int(need / (0.01 * math.log2(longest) + 1)))
+        mine = of[ends[i] - size : ends[i]]
+        mine = mine[lengths[mine] > 1]
+        if len(mine) < need:
+            continue
+        mine = mine[np.argsort(lengths[mine], kind="stable")]
+        own = [at[a : a + m] for a, m in zip(heads[mine].tolist(), lengths[mine].tolist())]
+        n_long = min(need - 1, int(need / (0.01 * math.log2(max(2, len(own[-1]))) + 1)))
         short, long = own[: len(own) - n_long], own[len(own) - n_long :]
         for j, count in _merge(short, need - n_long, n):
             if label[j] == label[i] or sizes[j] > size or sizes[j] * divide.den < divide.num * size:
@@ -338,7 +349,7 @@ def _merge(lists: list[np.ndarray], least: int, n: int):
         yield last, count
 
 
-def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), block: int = 8192, bucket_docs: int = 131072) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), block: int = 2048, bucket_docs: int = 131072) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id long, text).
 
     A document's set holds its distinct ``n``-word shingles (words: runs of characters other than ASCII white space, with
