@@ -44,6 +44,28 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_SLOTS = 1 << 23
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_SLOTS)) + F.lit(1)
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame, id: str) -> DataFrame:  # noqa: A002
+    """``df`` with the column ``_maybe``: false only where ``key`` is in no row of ``ids``.
+
+    A bitmap of 2**23 hashed ids, one megabyte whatever the input, is broadcast; it lets rows that a join would not match
+    stay out of its shuffle.
+    """
+    slots = ids.select(_slot(F.col(id)).alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_bucket"))
+    bits = saved(slots.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits")), "bitmap")
+    at = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int"))) > 0
+    joined = df.withColumn("_slot", _slot(F.col(key))).join(F.broadcast(bits), F.bitmap_bucket_number("_slot") == F.col("_bucket"), "left")
+    return joined.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_slot", "_bucket", "_bits")
+
+
 def finite_vector(c: Column) -> Column:
     """True for a non-null array without null, NaN or infinite components."""
     bad = F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

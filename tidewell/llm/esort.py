@@ -103,8 +103,8 @@ def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
 class _Pass:
     """One inducing scan over symbols in ascending (sign 1) or descending (sign -1) order."""
 
-    def __init__(self, x, wanted, run, sign: int, cap: int, budget: int, folder: str):
-        self.x, self.wanted, self.run, self.cap = x, wanted, run, cap
+    def __init__(self, x, wanted, run, sign: int, cap: int, budget: int, folder: str, prefixes: bool = True):
+        self.x, self.wanted, self.run, self.cap, self.prefixes = x, wanted, run, cap, prefixes
         self.queue = TupleQueues(sign, budget, folder)
         self.sign, self.at = sign, 0
         self.last: dict[int, int] = {}  # scan index of the latest induction under a symbol
@@ -129,9 +129,14 @@ class _Pass:
             order = np.argsort(symbol, kind="stable")
             here, symbol = here[order], symbol[order]
             first = np.concatenate([[True], symbol[1:] != symbol[:-1]])
+            starts = np.flatnonzero(first)
+            if not self.prefixes:
+                none = np.zeros(len(here), np.uint8)
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(here)]):
+                    self.queue.push(int(symbol[a]), prev[here[a:b]], none[a:b])
+                return
             low = np.where(first, 0, np.concatenate([[0], here[:-1] + 1]))
             value = np.minimum(_range_min(lcp, low, here).astype(np.int64) + 1, self.cap)
-            starts = np.flatnonzero(first)
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(here)]):
                 c = int(symbol[a])
                 since = self.last.get(c)
@@ -142,6 +147,8 @@ class _Pass:
                     value[a] = min(int(value[a]), before + 1, self.cap)
                 self.last[c] = base + int(here[b - 1])
                 self.queue.push(c, prev[here[a:b]], value[a:b].astype(np.uint8))
+        if not self.prefixes:
+            return
         latest = np.full(self.cap + 1, -1, np.int64)
         latest[lcp] = base + np.arange(len(lcp))
         self.recent = np.maximum(self.recent, np.maximum.accumulate(latest))
@@ -216,18 +223,18 @@ def _common(x, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
 
 
 def _doubling(names: np.ndarray, cap: int) -> np.ndarray:
-    """Suffixes of a string that fits in memory, in order of their first ``cap`` symbols at least."""
+    """Suffixes of a string of names that fits in memory, in order of what at least ``cap`` symbols under their names say."""
     rank, width, n = names.astype(np.int64), 1, len(names)
     while True:
         after = np.full(n, -1, np.int64)
         after[: max(0, n - width)] = rank[width:]
         key = rank * (n + 2) + after + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])
         rank = np.empty(n, np.int64)
         rank[order] = fresh
         width *= 2
-        if fresh[-1] == n - 1 or width >= cap:
+        if fresh[-1] == n - 1 or 2 * width >= cap:  # a name stands for two symbols at least
             return order
 
 
@@ -241,7 +248,7 @@ def _sorted_stars(x, cap: int, budget: int, in_memory: int, folder: str):
         found: list[np.ndarray] = []
         is_star = np.zeros(len(x), bool)
         is_star[star] = True
-        _induce(x, is_s, run, heads, np.zeros(len(heads), np.uint8), cap, budget, folder, lambda pos, lcp: found.append(pos[is_star[pos]]))
+        _induce(x, is_s, run, heads, np.zeros(len(heads), np.uint8), cap, budget, folder, lambda pos, lcp: found.append(pos[is_star[pos]]), prefixes=False)
         order = np.concatenate(found)[::-1]
         number = np.empty(len(x) + 1, np.int32)
         number[star] = np.arange(len(star))
@@ -271,8 +278,8 @@ def _sorted_stars(x, cap: int, budget: int, in_memory: int, folder: str):
     return is_s, run, star, lcp
 
 
-def _induce(x, is_s, run, star, lcp, cap: int, budget: int, folder: str, emit) -> None:
-    rising = _Pass(x, ~is_s, run, 1, cap, budget, folder)
+def _induce(x, is_s, run, star, lcp, cap: int, budget: int, folder: str, emit, prefixes: bool = True) -> None:
+    rising = _Pass(x, ~is_s, run, 1, cap, budget, folder, prefixes)
     large = TupleQueues(-1, budget, folder)  # L suffixes by symbol, for the second pass
     rising.start(len(x) - 1)
     rising.go(_by_symbol(x, star, lcp), lambda c, own, pos, p: large.push(c, pos, p) if own else None)
@@ -284,7 +291,7 @@ def _induce(x, is_s, run, star, lcp, cap: int, budget: int, folder: str, emit) -
             pos, p = np.concatenate([k[0] for k in chunks]), np.concatenate([k[1] for k in chunks])
             yield c, pos[::-1], np.concatenate([p[:1], p[1:][::-1]])
 
-    _Pass(x, is_s, run, -1, cap, budget, folder).go(backwards(), lambda c, own, pos, p: emit(pos, p))
+    _Pass(x, is_s, run, -1, cap, budget, folder, prefixes).go(backwards(), lambda c, own, pos, p: emit(pos, p))
     large.close()
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import mix64, powers, saved
+from tidewell.llm.common import maybe_in, mix64, powers, saved
 from tidewell.llm.esort import suffix_sort
 
 _GROUP = 1 << 20  # bytes of text hashed at once (positions take 24 bits)
@@ -358,12 +358,15 @@ def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 40, shard_byt
     pieces = met.agg(F.sum(F.length("pos"))).first()[0] or 0
     shards = max(12, pieces // 4 * (2 * length - anchor) // shard_bytes)
     repeats = met.groupBy(F.col("doc").alias("d")).agg(F.collect_list("pos").alias("lists"))
-    cut = texts.join(repeats, F.col("doc") == F.col("d")).select("doc", "text", "lists").mapInArrow(_cut_pieces(length, anchor, shards), _PIECES)
+    some = maybe_in(texts, "doc", met.select(F.col("doc").alias("d")), "d").where("_maybe")
+    cut = some.join(repeats, F.col("doc") == F.col("d")).select("doc", "text", "lists").mapInArrow(_cut_pieces(length, anchor, shards), _PIECES)
     # rows of marks only pass through: they are dealt by document
     dealt = cut.repartition("shard", F.when(F.col("shard") < 0, F.col("doc"))).sortWithinPartitions("shard")
     marks = saved(dealt.mapInArrow(_sort_shards(length, limits), "doc long, marks binary"), "marks")
     marks = marks.groupBy(F.col("doc").alias("d")).agg(F.collect_list("marks").alias("marks"))
-    joined = rows.join(marks, F.col("doc") == F.col("d"), "left").select("doc_id", "text", "marks")
+    flagged = maybe_in(rows, "doc", marks, "d")  # texts without any mark are finished where they are read
+    joined = flagged.where("_maybe").join(marks, F.col("doc") == F.col("d"), "left").select("doc_id", "text", "marks")
+    joined = joined.unionByName(flagged.where("not _maybe").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks")))
 
     def finish(batches):
         for batch in batches:
