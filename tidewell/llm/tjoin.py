@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import mix64, powers, saved
+from tidewell.llm.common import maybe_in, mix64, powers, saved
 from tidewell.llm.components import components, forest
 
 _SPACE = 32
@@ -384,7 +384,8 @@ def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90,
     members = saved(blocks.join(copies, blocks["id"] == copies["copy"], "left_anti"), "members")
     many = members.groupBy(F.col("component_id").alias("_c")).agg(F.count("*").alias("n")).where("n > 1")
     members = members.join(many, members["component_id"] == many["_c"]).select("id", F.col("component_id").alias("c"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    texts = base.join(members, base["doc_id"] == members["id"]).select("id", "c", "parts", "text")
+    some = maybe_in(base, "doc_id", members, "id").where("_maybe")  # other texts stay out of the shuffle
+    texts = some.join(members, F.col("doc_id") == F.col("id")).select("id", "c", "parts", "text")
 
     def sets(batches):
         shingle = Shingler(n)
