@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import saved
+from tidewell.llm.common import maybe_in, saved
 
 #: The kinds in their order with their patterns.  Possessive quantifiers and the look-behinds change no
 #: match (what they forbid could never be matched) but keep long runs from quadratic time and deep recursion.
@@ -102,7 +102,8 @@ def disclosing_terms(rows: DataFrame, entities: DataFrame, alpha: float, min_tex
     n_c = entities.groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_texts)
     held = saved(entities.join(n_c, "c"), "entities")
     keys = held.select(F.col("key").alias("k")).distinct()
-    words = rows.join(keys, rows["key"] == keys["k"]).select("key", F.explode(_terms(F.col("text"))).alias("t"))
+    some = maybe_in(rows, "key", keys, "k").where("_maybe")  # other texts stay out of the shuffle
+    words = some.join(keys, F.col("key") == F.col("k")).select("key", F.explode(_terms(F.col("text"))).alias("t"))
     pairs = words.join(held.withColumnRenamed("key", "k"), F.col("key") == F.col("k"))
     pairs = pairs.groupBy("c", "t").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c")).where(F.col("n_ct") >= min_texts)
     pairs = saved(pairs, "pairs")
@@ -127,11 +128,14 @@ def _all_spans(docs: DataFrame, alpha: float, min_texts: int) -> tuple[DataFrame
     values = F.array_distinct(F.concat(*map(_values, PATTERNS)))
     entities = found.where(" or ".join(f"size({k}) > 0" for k in PATTERNS)).groupBy("key").agg(F.first(values).alias("cs")).select("key", F.explode("cs").alias("c"))
     copies = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("many"))
-    once = rows.select("key", "text").join(copies, F.col("key") == F.col("many"), "left_anti")
-    again = rows.select("key", "text").join(copies, F.col("key") == F.col("many"), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    copies = saved(copies, "copies")
+    split = maybe_in(rows.select("key", "text"), "key", copies, "many")
+    some = split.where("_maybe").drop("_maybe")
+    once = split.where("not _maybe").drop("_maybe").unionByName(some.join(copies, F.col("key") == F.col("many"), "left_anti"))
+    again = some.join(copies, F.col("key") == F.col("many"), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     terms = saved(disclosing_terms(once.unionByName(again), entities, alpha, min_texts), "terms")
     gone = terms.select(F.col("key").alias("k"), "terms")
-    hit = rows.select("key", "text").join(gone, F.col("key") == F.col("k")).groupBy("key").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
+    hit = maybe_in(rows.select("key", "text"), "key", gone, "k").where("_maybe").join(gone, F.col("key") == F.col("k")).groupBy("key").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
     placed = _fold(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.split("text", _WORD, -1), lambda v: F.array_contains(F.col("terms"), F.lower(v)))
     term_spans = saved(hit.select(F.col("key").alias("k"), placed.alias("term")), "termspans")
     out = found.join(term_spans, F.col("key") == F.col("k"), "left").drop("k")
@@ -164,8 +168,10 @@ def pii_clean(docs: DataFrame, alpha: float = 1.0, min_texts: int = 3) -> DataFr
     """
     rows, out = _all_spans(docs, alpha, min_texts)
     marks = F.array_sort(F.concat(*map(_marks, KINDS)))
-    marked = out.select(F.col("key").alias("k"), marks.alias("marks")).where("size(marks) > 0").groupBy("k").agg(F.first("marks").alias("marks"))
-    joined = rows.join(marked, F.col("key") == F.col("k"), "left")
+    marked = saved(out.select(F.col("key").alias("k"), marks.alias("marks")).where("size(marks) > 0").groupBy("k").agg(F.first("marks").alias("marks")), "marks")
+    split = maybe_in(rows, "key", marked, "k")
+    joined = split.where("_maybe").join(marked, F.col("key") == F.col("k"), "left").drop("_maybe", "k")
+    joined = joined.unionByName(split.where("not _maybe").drop("_maybe").withColumn("marks", F.lit(None).cast(joined.schema["marks"].dataType)))
 
     def cut(acc, m):
         fresh = m["s"] >= acc["at"]
