@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import bpe_encode
-from tidewell.llm.common import saved
+from tidewell.llm.common import maybe_in, saved
 from tidewell.llm.cube_mix import WORD, cube_mix
 from tidewell.llm.pii import pii_clean
 from tidewell.llm.textmodel import quality_scores
@@ -29,10 +29,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat a doc_id are one document, of which one row stays; rows without a doc_id stay.
     """
-    found = jaccard_join(docs, n=5, similarity=(80, 100))
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    found = saved(jaccard_join(docs, n=5, similarity=(80, 100)).where("doc_id is not null"), "groups")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    twice = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id")
+    split = maybe_in(docs, "doc_id", gone.unionByName(twice), "_id")  # most documents stay where they are
+    some = split.where("_maybe and doc_id is not null").join(gone, F.col("doc_id") == F.col("_id"), "left_anti").dropDuplicates(["doc_id"])
+    return some.select(*COLUMNS).unionByName(split.where("not _maybe or doc_id is null").select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
