@@ -89,11 +89,6 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
 
 
-def _plain_terms(text: Column) -> Column:
-    """As ``_terms`` with the words inside personal values too: a superset that is cheaper to count."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
-
-
 def disclosing_terms(rows: DataFrame, entities: DataFrame, alpha: float, min_texts: int) -> DataFrame:
     """(key, terms): the terms to remove from each text that holds an entity they disclose.
 
@@ -110,10 +105,10 @@ def disclosing_terms(rows: DataFrame, entities: DataFrame, alpha: float, min_tex
     asked = pairs.select(F.col("t").alias("asked")).distinct()
     if pairs.count() <= _BROADCAST_TERMS:  # checked; beyond it the join shuffles
         asked = F.broadcast(asked)
-    n_t = rows.select(F.explode(_plain_terms(F.col("text"))).alias("t")).join(asked, F.col("t") == F.col("asked"), "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
+    n_t = rows.select(F.explode(_terms(F.col("text"))).alias("t")).join(asked, F.col("t") == F.col("asked"), "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
     total = rows.agg(F.count("*").alias("n"))
     scored = pairs.join(n_t, "t").crossJoin(F.broadcast(total))  # one row
-    pmi = F.log2(F.col("n") * F.col("n_ct") / (F.col("n_c") * F.greatest("n_t", "n_ct")))
+    pmi = F.log2(F.col("n") * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     flagged = scored.where(pmi >= F.log2(F.col("n") / F.col("n_c")) / F.lit(float(alpha)) - 1e-9).select(F.col("c").alias("_c"), F.col("t").alias("_t"))
     hit = held.join(flagged, F.col("c") == F.col("_c"))
     return hit.groupBy("key").agg(F.array_sort(F.collect_set("_t")).alias("terms"))
