@@ -81,7 +81,8 @@ def token_overlap(query: Column, text: Column) -> Column:
 def bigrams(c: Column) -> Column:
     """Distinct pairs of adjacent tokens; the last token stands alone."""
     t = tokens(c)
-    return F.array_distinct(F.transform(t, lambda x, i: F.when(i + 1 < F.size(t), F.concat(x, F.lit("\n"), F.get(t, i + 1))).otherwise(x)))
+    following = F.slice(t, 2, F.greatest(F.size(t), F.lit(1)))  # not t inside the lambda: it would be evaluated for each token
+    return F.array_distinct(F.zip_with(t, following, lambda x, y: F.when(y.isNotNull(), F.concat(x, F.lit("\n"), y)).otherwise(x)))
 
 
 def set_similarity(a: Column, b: Column) -> Column:

@@ -140,13 +140,19 @@ def feedback_scores(feedback: DataFrame, id: str = "chunk_id") -> DataFrame:
 
 
 def duplicates(docs: DataFrame, threshold: float = 0.9, recent: int = 200, tenant: str = "tenant", order: str = "ingested_at", id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, of, similarity, exact): equals by content hash within a tenant, and near ones among its ``recent`` latest documents."""
-    hashed = docs.select(tenant, id, order, content_hash(F.col(text)).alias("h"), bigrams(F.col(text)).alias("g"))
+    """(id, of, similarity, exact): equals by content hash within a tenant, and near ones among the ``recent`` documents before each in ``order``.
+
+    Ids are unique.  Positions are dealt in blocks of ``recent``, so a document meets its own block and the one before.
+    """
+    hashed = docs.select(tenant, id, content_hash(F.col(text)).alias("h"), bigrams(F.col(text)).alias("g"))
     first = hashed.groupBy(tenant, "h").agg(F.min(id).alias("of"))
     exact = hashed.join(first, [tenant, "h"]).where(F.col(id) != F.col("of")).select(id, "of", F.lit(1.0).alias("similarity"), F.lit(True).alias("exact"))
-    late = hashed.withColumn("_n", F.row_number().over(Window.partitionBy(tenant).orderBy(F.col(order).desc(), F.col(id).desc()))).where(F.col("_n") <= recent)
-    a, b = late.alias("a"), late.alias("b")
-    pairs = a.join(b, (F.col(f"a.{tenant}") == F.col(f"b.{tenant}")) & (F.col(f"a.{id}") > F.col(f"b.{id}")) & (F.col("a.h") != F.col("b.h")))
+    place = docs.select(F.col(id).alias("_id"), F.row_number().over(Window.partitionBy(tenant).orderBy(order, id)).alias("_n"))
+    placed = hashed.join(place, F.col(id) == F.col("_id")).drop("_id").withColumn("_k", F.floor(F.col("_n") / recent))
+    a, b = placed.withColumn("_k", F.explode(F.array(F.col("_k"), F.col("_k") - 1))).alias("a"), placed.alias("b")
+    before = (F.col("b._n") < F.col("a._n")) & (F.col("b._n") >= F.col("a._n") - recent)
+    sizes = F.least(F.size("a.g"), F.size("b.g")) >= threshold * F.greatest(F.size("a.g"), F.size("b.g")) - 1e-6  # else no overlap reaches the threshold
+    pairs = a.join(b, (F.col(f"a.{tenant}") == F.col(f"b.{tenant}")) & (F.col("a._k") == F.col("b._k")) & before & (F.col("a.h") != F.col("b.h")) & sizes)
     near = pairs.select(F.col(f"a.{id}").alias(id), F.col(f"b.{id}").alias("of"), set_similarity(F.col("a.g"), F.col("b.g")).alias("similarity"), F.lit(False).alias("exact")).where(F.col("similarity") >= threshold)
     return exact.unionByName(near)
 

@@ -792,6 +792,15 @@ def r11_duplicates(spark, sf):
     return R.duplicates(table(spark, sf, "documents"), tenant="lang", order="doc_id").where("exact").drop("exact")
 
 
+@query(f"""WITH t AS (SELECT lang, doc_id, sha256(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS h, {_TOK.format('text')} AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents),
+g AS (SELECT lang, doc_id, h, n, list_distinct(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN i < len(t) THEN t[i] || chr(10) || t[i + 1] ELSE t[i] END)) AS g FROM t),
+p AS (SELECT a.doc_id, b.doc_id AS "of", len(list_intersect(a.g, b.g)) AS c, len(a.g) + len(b.g) AS s FROM g a JOIN g b ON a.lang = b.lang AND b.n BETWEEN a.n - 200 AND a.n - 1 AND a.h <> b.h AND len(a.g) > 0 AND len(b.g) > 0)
+SELECT doc_id, "of", round(c / (s - c), 6) AS similarity FROM p WHERE c / (s - c) >= 0.9""")
+def r11_near_duplicates(spark, sf):
+    near = R.duplicates(table(spark, sf, "documents"), tenant="lang", order="doc_id").where("not exact")
+    return near.select("doc_id", "of", F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT doc_id, sha256(doc_id || chr(10) || text || chr(10) || lang || chr(10) || 'parser-1') AS version_id FROM documents")
 def r12_versions(spark, sf):
     return R.document_versions(table(spark, sf, "documents"), "parser-1", metadata=["lang"]).select("doc_id", "version_id")
