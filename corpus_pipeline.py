@@ -57,8 +57,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the token ids of every document of the mix."""
-    return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids"))
+    """doc_id, n_tokens, the token ids and the text decoded from them, of every document of the mix."""
+    return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids", "decoded"))
 
 
 STAGES = [("quality", quality), ("near duplicates", near_duplicates), ("personal data", personal_data), ("mix", mix), ("tokens", tokens)]
