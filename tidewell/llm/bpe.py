@@ -17,8 +17,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import tidy
+
 LONG = 256
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 50_000
 _NONE = 1 << 60
 #: The characters with the Unicode property White_Space, as a regex class.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -110,7 +112,7 @@ class WordBpe:
         found = ids, len(ids), " ".join(map(str, ids)), self.decode(ids)
         if len(self._chunks) >= _CACHE_ENTRIES:
             self._chunks.clear()
-        if len(chunk) <= 64:
+        if len(chunk) <= 64:  # so that the entries are some 30 MB at most
             self._chunks[chunk] = found
         return found
 
@@ -175,6 +177,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[
     def digest(s: str) -> str:
         return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
+    @tidy
     def run(batches):
         bpe = load(spec.value)
         makers = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
 import numpy as np
@@ -44,28 +46,66 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-_SLOTS = 1 << 23
+def tidy(run):
+    """``run`` for mapInArrow, after which the worker process gives freed memory back: workers outlive their tasks."""
 
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
 
-def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(_SLOTS)) + F.lit(1)
+    return wrapped
+
+
+_SLOTS = 23, 27  # powers of two: a bitmap has from 1 to 16 megabytes
+
+
+def _slot(key: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(slots)) + F.lit(1)
 
 
 def maybe_in(df: DataFrame, key: str, ids: DataFrame, id: str) -> DataFrame:  # noqa: A002
     """``df`` with the column ``_maybe``: false only where ``key`` is in no row of ``ids``.
 
-    A bitmap of 2**23 hashed ids, one megabyte whatever the input, is broadcast; it lets rows that a join would not match
-    stay out of its shuffle.
+    A bitmap of hashed ids, eight slots an id but 16 megabytes at most, is broadcast; it lets rows that a join would not
+    match stay out of its shuffle.  From some 10**8 ids on it lets ever more rows through, which costs the shuffle of these.
     """
-    slots = ids.select(_slot(F.col(id)).alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_bucket"))
-    bits = saved(slots.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits")), "bitmap")
+    slots = 1 << min(_SLOTS[1], max(_SLOTS[0], (8 * ids.count()).bit_length()))
+    hashed = ids.select(_slot(F.col(id), slots).alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_bucket"))
+    bits = saved(hashed.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits")), "bitmap")
     at = F.bitmap_bit_position("_slot")
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int"))) > 0
-    joined = df.withColumn("_slot", _slot(F.col(key))).join(F.broadcast(bits), F.bitmap_bucket_number("_slot") == F.col("_bucket"), "left")
+    joined = df.withColumn("_slot", _slot(F.col(key), slots)).join(F.broadcast(bits), F.bitmap_bucket_number("_slot") == F.col("_bucket"), "left")
     return joined.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_slot", "_bucket", "_bits")
 
 
+HOT_ROWS = 1024
+HOT_KEYS = 100_000
+
+
+def hot_bound(total: int) -> int:
+    """How many rows make a key hot: at most HOT_KEYS keys of ``total`` rows have more."""
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def join_hot(rows: DataFrame, key: str, table: DataFrame, id: str, n: str) -> DataFrame:  # noqa: A002
+    """Inner join of ``rows`` with ``table`` (one row for each ``id``, of which ``n`` says how many rows hold it).
+
+    Rows of hot keys meet their few table rows by broadcast (a bounded number, see ``hot_bound``) and stay where they are;
+    the others are shuffled, none of their keys being hot.
+    """
+    bound = hot_bound(rows.count())
+    hot, cold = table.where(F.col(n) > bound), table.where(F.col(n) <= bound)
+    near = rows.join(F.broadcast(hot), F.col(key) == F.col(id))
+    far = rows.join(F.broadcast(hot.select(F.col(id).alias("_hot"))), F.col(key) == F.col("_hot"), "left_anti")
+    return near.unionByName(far.join(cold, F.col(key) == F.col(id)))
+
+
 def finite_vector(c: Column) -> Column:
     """True for a non-null array without null, NaN or infinite components."""
     bad = F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

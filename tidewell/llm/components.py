@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import saved
+from tidewell.llm.common import join_hot, saved, tidy
 
 _CHUNK = 1 << 20
 
@@ -63,19 +63,22 @@ def _contract(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) for every node of ``edges`` (two long columns): component_id is the smallest id reachable.
 
-    Edges with a null end and loops are ignored; repeated edges do no harm; no edges give no rows.
+    Edges with a null end and loops are ignored; repeated edges do no harm; no edges give no rows.  Nodes with very many
+    edges and labels of very many nodes are looked up by broadcast (see ``join_hot``), so no task gets all of one's rows.
     """
     x, y = edges.columns[:2]
     clean = edges.select(F.col(x).cast("long").alias("a"), F.col(y).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    small = saved(clean.mapInArrow(_contract, "a long, b long").distinct(), "forest")
+    small = saved(clean.mapInArrow(tidy(_contract), "a long, b long").distinct(), "forest")
     both = small.union(small.select("b", "a"))
-    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("lab")), "labels")
+    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("lab"), F.count("*").alias("n")), "labels")
+    degrees = labels.select(F.col("id").alias("_id"), "n")
+    labels = labels.select("id", "lab")
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("lab").alias("near"))
-        met = labels.join(near, labels["id"] == near["a"]).select("id", "lab", F.least("lab", "near").alias("new"))
-        target = met.select(F.col("id").alias("to"), F.col("new").alias("next"))
-        jumped = met.join(target, met["new"] == target["to"]).select("id", F.least("new", "next").alias("lab"), (F.least("new", "next") != F.col("lab")).alias("moved"))
-        step = saved(jumped, "labels")
-        labels = step.select("id", "lab")
-        if not step.where("moved").limit(1).count():
+        known = labels.join(degrees, F.col("id") == F.col("_id")).select("id", "lab", "n")
+        near = join_hot(both, "b", known, "id", "n").groupBy("a").agg(F.min("lab").alias("near"))
+        met = saved(labels.join(near, F.col("id") == F.col("a")).select("id", "lab", F.least("lab", "near").alias("new")), "met")
+        if not met.where("new <> lab").limit(1).count():  # no edge joins two labels
             return labels.withColumnRenamed("lab", "component_id")
+        held = met.groupBy(F.col("new").alias("_new")).agg(F.count("*").alias("n"))
+        target = held.join(met.select(F.col("id").alias("to"), F.col("new").alias("next")), F.col("_new") == F.col("to")).select("to", "next", "n")
+        labels = saved(join_hot(met, "new", target, "to", "n").select("id", F.least("new", "next").alias("lab")), "labels")

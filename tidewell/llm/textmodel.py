@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import mix64, powers
+from tidewell.llm.common import mix64, powers, tidy
 
 GRAMS = (3, 4, 5)
 _SPACE = 32
@@ -156,6 +156,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["score double"])
     text_at = docs.columns.index("text")
 
+    @tidy
     def run(batches):
         for batch in batches:
             scores = score_texts([t.as_py() or "" for t in batch.column(text_at)], *shared.value)

@@ -5,17 +5,20 @@
    are not empty: one of those must agree completely, so linked sets share a part's hash.  Small sets use prefixes instead
    (at least one shared shingle lies among the n - ceil(t n) + 1 smallest hashes of both).  Sets that leave too many parts
    empty under one division are compared again under another, until none is left.
-2. Documents that share a hash are joined into blocks (components over star edges, no pairs are written).
+2. Documents that share a hash are candidates, and their components are groups (over star edges, no pairs are written).
+   A group is a block, or, if it is large, several blocks that have some sets in common.
 3. In a block, T-occurrence search decides: every set looks up its shingles' inverted lists, merges the short ones with a
-   heap (or, when they are dense, with a counter for each set), probes the long ones by binary search, and keeps sets that
-   reach the overlap its similarity needs.  Only links between different components of the block are searched, since
-   the result is the components.
+   heap that skips, probes the long ones by binary search, and keeps sets that reach the overlap its similarity needs.
+   Only links between different components are searched, since the result is the components.
+4. Where the blocks of a large group leave sets apart, those that share a part's hash meet again (see _search_open), so
+   candidates that chain up without being linked cost what their shared parts hold, not the square of the group.
 
-Equal sets are one set in steps 2 and 3.
+Equal sets are one set in steps 2 to 4.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
 import math
@@ -25,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import maybe_in, mix64, powers, saved
+from tidewell.llm.common import join_hot, maybe_in, mix64, powers, saved, tidy
 from tidewell.llm.components import components, forest
 
 _SPACE = 32
 _PREFIX_UP_TO = 40
-_EDGES = 1 << 20
+_EDGES = 1 << 19
+_HELD = 1 << 19  # keys that a task sorts at once
+_MU = 0.01  # DivideSkip: how dear a probe is, which sets the number of long lists
+_ANCHORS = 32  # sets that the blocks of a large group have in common
 _SIZE, _EQUAL, _NEAR, _OPEN = 0, 1, 2, 3  # kinds of rows: size of a set, equal sets, sets to compare, sets to divide again
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -206,7 +212,7 @@ def _hash_sets(n: int, num: int, den: int, seed: int, buckets: int):
                 ids.append(np.full(len(k), doc, np.int64))
                 kinds.append(_NEAR)
                 held += len(k)
-                if held >= 1 << 21:
+                if held >= _HELD:
                     yield from flush()
                     keys, ids, kinds, held = [], [], [], 0
             if seed == 0:
@@ -256,43 +262,33 @@ def _match(batches):
         plain = batch.filter(pa.compute.and_(pa.compute.invert(packed), pa.compute.not_equal(batch.column("kind"), _NEAR)))
         if len(plain):
             yield pa.RecordBatch.from_arrays([plain.column("kind"), plain.column("a"), plain.column("b")], names)
-        for row in batch.filter(packed).to_pylist():
-            at = (row["kind"], row["bucket"])
-            if held_keys and at != held_at:
+        full = batch.filter(packed)
+        for kind, bucket, k, i in zip(full.column("kind").to_pylist(), full.column("bucket").to_pylist(), full.column("keys"), full.column("ids")):
+            if held_keys and (kind, bucket) != held_at:
                 yield from flush()
                 held_keys, held_ids = [], []
-            held_at = at
-            held_keys.append(np.frombuffer(row["keys"], np.uint64))
-            held_ids.append(np.frombuffer(row["ids"], np.int64))
+            held_at = kind, bucket
+            held_keys.append(np.frombuffer(k.as_py(), np.uint64))  # copies of one row at a time
+            held_ids.append(np.frombuffer(i.as_py(), np.int64))
     if held_keys:
         yield from flush()
     none = np.zeros(0, np.int64)
     yield from compare(none, none, True)
 
 
-def search_block(sets: list[np.ndarray], divide: Division) -> np.ndarray:
-    """Component labels (positions of the smallest member) of sets under the join's links."""
-    n = len(sets)
-    label = np.arange(n)
-
-    def join(i: int, j: int) -> None:
-        a, b = sorted((label[i], label[j]))
-        if a != b:
-            label[label == b] = a
+def search_block(sets: list[np.ndarray], divide: Division, label: np.ndarray | None = None) -> np.ndarray:
+    """Component labels (positions of the smallest member) of sets under the join's links.
 
-    sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    leaders: list[int] = []
-    for i in order:  # most sets of a block link to one of a few: what these settle needs no search
-        for j in leaders:
-            if divide.num * sizes[i] <= divide.den * sizes[j] and divide.linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), sizes[i], sizes[j]):
-                join(i, j)
-                break
-        else:
-            leaders = [*leaders[-7:], int(i)]
+    ``label``: components that are known already.  DivideSkip: a set's short inverted lists are merged by a heap that skips
+    what cannot occur often enough, its long ones are probed by binary search.  A set in the searching one's own
+    component is no candidate any more, as only components are asked for.
+    """
+    n = len(sets)
+    label = np.arange(n) if label is None else label.copy()
     if (label == label[0]).all():
         return label
     # inverted lists, ascending, one after another; a shingle of one set only has no list
+    sizes = np.array([len(s) for s in sets])
     at = np.repeat(np.arange(n, dtype=np.int32), sizes)
     tokens = np.concatenate(sets)
     by = np.argsort(tokens, kind="stable")
@@ -304,8 +300,8 @@ def search_block(sets: list[np.ndarray], divide: Division) -> np.ndarray:
     of[by] = (np.cumsum(new) - 1).astype(np.int32)
     del tokens, by, new
     ends = np.cumsum(sizes)
-    for i in order[::-1]:
-        size = sizes[i]
+    for i in np.argsort(sizes, kind="stable")[::-1]:
+        size = int(sizes[i])
         need = -(-size * divide.num // divide.den)  # sets up to this one's size; larger ones search themselves
         mine = of[ends[i] - size : ends[i]]
         mine = mine[lengths[mine] > 1]
@@ -313,43 +309,58 @@ def search_block(sets: list[np.ndarray], divide: Division) -> np.ndarray:
             continue
         mine = mine[np.argsort(lengths[mine], kind="stable")]
         own = [at[a : a + m] for a, m in zip(heads[mine].tolist(), lengths[mine].tolist())]
-        n_long = min(need - 1, int(need / (0.01 * math.log2(max(2, len(own[-1]))) + 1)))
+        n_long = min(need - 1, int(need / (_MU * math.log2(max(2, len(own[-1]))) + 1)))
         short, long = own[: len(own) - n_long], own[len(own) - n_long :]
-        for j, count in _merge(short, need - n_long, n):
-            if label[j] == label[i] or sizes[j] > size or sizes[j] * divide.den < divide.num * size:
+        found = np.concatenate(short)
+        fits = (label[found] != label[i]) & (sizes[found] <= size) & (sizes[found] * divide.den >= divide.num * size)
+        if not fits.any():
+            continue
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in short])])
+        cut = np.concatenate([[0], np.cumsum(fits)])[bounds]
+        found = found[fits].tolist()
+        for j, count in merge_skip([found[a:b] for a, b in zip(cut, cut[1:]) if a < b], max(1, need - n_long)):
+            if label[j] == label[i]:
                 continue
-            want = -(-divide.num * (int(size) + int(sizes[j])) // (divide.num + divide.den))
+            want = -(-divide.num * (size + int(sizes[j])) // (divide.num + divide.den))
             for k, postings in enumerate(long):
                 if count >= want or count + len(long) - k < want:
                     break
                 p = np.searchsorted(postings, j)
                 count += int(p < len(postings) and postings[p] == j)
             if count >= want:
-                join(i, j)
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
     return label
 
 
-def _merge(lists: list[np.ndarray], least: int, n: int):
-    """(position, occurrences) of positions in at least ``least`` of the lists."""
-    total = sum(map(len, lists))
-    if total > n or total > 4096:
-        counts = np.bincount(np.concatenate(lists), minlength=n)
-        found = np.flatnonzero(counts >= max(1, least))
-        yield from zip(found.tolist(), counts[found].tolist())
-        return
-    last, count = -1, 0
-    for j in heapq.merge(*(x.tolist() for x in lists)):
-        if j == last:
-            count += 1
+def merge_skip(lists: list[list[int]], least: int):
+    """(position, occurrences) of positions in at least ``least`` ascending lists, by a heap of the lists' heads.
+
+    Where the smallest head does not occur often enough, the ``least`` - 1 smallest heads are taken out and their lists
+    jump, by binary search, to the smallest head that is left: nothing before it can reach ``least``.
+    """
+    at = [0] * len(lists)
+    heap = [(x[0], k) for k, x in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        low, out = heap[0][0], []
+        while heap and heap[0][0] == low:
+            out.append(heapq.heappop(heap)[1])
+        if len(out) >= least:
+            yield low, len(out)
+            for k in out:
+                at[k] += 1
         else:
-            if last >= 0 and count >= least:
-                yield last, count
-            last, count = j, 1
-    if last >= 0 and count >= least:
-        yield last, count
+            while len(out) < least - 1:
+                out.append(heapq.heappop(heap)[1])
+            for k in out:  # least - 1 < len(heap) + len(out), so a head is left
+                at[k] = bisect.bisect_left(lists[k], heap[0][0], at[k])
+        for k in out:
+            if at[k] < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at[k]], k))
 
 
-def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), block: int = 2048, bucket_docs: int = 131072) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), block: int = 2048, bucket_docs: int = 131072, block_shingles: int = 1 << 21) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id long, text).
 
     A document's set holds its distinct ``n``-word shingles (words: runs of characters other than ASCII white space, with
@@ -357,10 +368,12 @@ def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90,
     den * intersection >= num * union for ``similarity`` (num, den); component_id is the smallest doc_id reachable by
     links, itself included.  A null text or one without words has an empty set and links with nothing.  A null doc_id links with
     nothing and has a null component_id; rows that share a doc_id are one document for links (any of their texts), yet
-    each is returned with its own n_shingles.  An empty table gives no rows; other columns are ignored.  Shingles are
-    compared as 64-bit hashes.
+    each is returned with its own n_shingles.  Texts of any length are taken whole.  An empty table gives no rows; other
+    columns are ignored.  Shingles and whole sets are compared as 64-bit hashes.
 
-    Blocks of over ``block`` different sets are dealt over pairs of parts of that size, none of it dropped.
+    A block holds up to ``block`` sets and about ``block_shingles`` shingles (one set at least).  Larger groups of
+    candidates are searched in blocks that have some sets in common, and what these leave apart is searched again, by the
+    parts that the sets share, between sets of different components only.
     """
     spark = docs.sparkSession
     num, den = similarity
@@ -368,35 +381,60 @@ def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90,
     buckets = max(16, -(-base.count() // bucket_docs) * 16)
     found, seed = None, 0
     while True:
-        run = _hash_sets(n, num, den, seed, buckets)
+        run = tidy(_hash_sets(n, num, den, seed, buckets))
         packed = base.mapInArrow(run, _BLOB).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-        step = saved(packed.mapInArrow(_match, "kind int, a long, b long"), "matches")
+        step = saved(packed.mapInArrow(tidy(_match), "kind int, a long, b long"), "matches")
         found = step if found is None else found.unionByName(step)
+        seed += 1
         if not step.where(F.col("kind") == _OPEN).limit(1).count():
             break
-        seed += 1
     sizes = found.where(F.col("kind") == _SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     equal = found.where(F.col("kind") == _EQUAL).select("a", "b").distinct()
     near = found.where(F.col("kind") == _NEAR).select("a", "b")
-    # a document that equals a smaller one leaves the search; the smaller one stands for it
+    # a document that equals a smaller one leaves the search, which stands for it; not so an id with several texts
     blocks = components(near.unionByName(equal))
-    copies = equal.groupBy(F.col("a").alias("copy")).agg(F.min("b").alias("of"))
-    members = saved(blocks.join(copies, blocks["id"] == copies["copy"], "left_anti"), "members")
-    many = members.groupBy(F.col("component_id").alias("_c")).agg(F.count("*").alias("n")).where("n > 1")
-    members = members.join(many, members["component_id"] == many["_c"]).select("id", F.col("component_id").alias("c"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    known = sizes.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.sum("n_shingles").alias("w"), F.count("*").alias("rows"))
+    copies = equal.select(F.col("a").alias("copy")).distinct().join(known.where("rows > 1"), F.col("copy") == F.col("_id"), "left_anti").select("copy")
+    members = blocks.join(copies, blocks["id"] == copies["copy"], "left_anti")
+    members = saved(members.join(known, F.col("id") == F.col("_id")).select("id", F.col("component_id").alias("c"), "w"), "members")
+    many = members.groupBy(F.col("c").alias("_c")).agg(F.count("*").alias("n"), F.sum("w").alias("shingles")).where("n > 1")
+    many = many.withColumn("parts", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / block_shingles)).cast("int"))
+    many = saved(many, "candidates")
+    members = saved(join_hot(members, "c", many, "_c", "n").select("id", "c", "w", "n", "parts"), "members")
     some = maybe_in(base, "doc_id", members, "id").where("_maybe")  # other texts stay out of the shuffle
-    texts = some.join(members, F.col("doc_id") == F.col("id")).select("id", "c", "parts", "text")
+    texts = some.join(members, F.col("doc_id") == F.col("id")).select("id", "c", "w", "n", "parts", "text")
+    large = bool(many.where("parts > 1").limit(1).count())
 
+    @tidy
     def sets(batches):
         shingle = Shingler(n)
         for batch in batches:
-            data = [shingle(t.as_py()).tobytes() for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(data, pa.binary())], ["id", "c", "parts", "data"])
+            for at in range(0, len(batch), 256):
+                piece = batch.slice(at, 256)
+                data = [shingle(t.as_py()).tobytes() for t in piece.column(5)]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:5], pa.array(data, pa.binary())], ["id", "c", "w", "n", "parts", "data"])
+
+    packed_sets = texts.mapInArrow(sets, "id long, c long, w long, n long, parts int, data binary")
+    if large:
+        packed_sets = saved(packed_sets, "sets")
+    at = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    anchor = F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("n") / _ANCHORS)) == 0  # members of every block
+    cells = packed_sets.withColumn("i", F.explode(F.when(anchor, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(at))))
+    cells = cells.select("c", "i", F.lit(0).alias("j"), "id", F.col("id").alias("label"), "data")
+    links = saved(_search(cells, num, den).unionByName(equal), "links")
+    comps = components(links)
+    if large:
+        more = _search_open(packed_sets, comps, num, den, seed, block, block_shingles)
+        if more is not None:
+            comps = components(links.unionByName(more))
+    out = sizes.join(comps, sizes["doc_id"] == comps["id"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
 
-    cells = texts.mapInArrow(sets, "id long, c long, parts int, data binary")
-    cells = cells.withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("c", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "data")
+def _search(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): each set of a cell (c, i, j) with the smallest id of its component there; ``label`` tells known components."""
 
+    @tidy
     def search(batches):
         divide = Division(num, den)
         held, held_at = [], None
@@ -404,22 +442,71 @@ def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90,
         def flush():
             rows = sorted(held)
             ids = np.array([r[0] for r in rows], np.int64)
-            label = search_block([np.frombuffer(r[1], np.uint64) for r in rows], divide)
-            own = np.flatnonzero(ids[label] != ids)
+            _, first, at = np.unique(np.array([r[1] for r in rows], np.int64), return_index=True, return_inverse=True)
+            old = first[at]  # the first row of a label is its smallest id
+            label = search_block([np.frombuffer(r[2], np.uint64) for r in rows], divide, old)
+            own = np.flatnonzero((ids[label] != ids) & (label != old))
             return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label][own])], ["a", "b"])
 
         for batch in batches:
-            for c, i, j, doc, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            keys = zip(*(batch.column(k).to_pylist() for k in range(5)))
+            for (c, i, j, doc, label), data in zip(keys, batch.column(5)):
                 if (c, i, j) != held_at:
                     if len(held) > 1:
                         yield flush()
                     held, held_at = [], (c, i, j)
+                data = data.as_py()
                 if data:
-                    held.append((doc, data))
+                    held.append((doc, label, data))
         if len(held) > 1:
             yield flush()
 
-    links = cells.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(search, "a long, b long")
-    comps = components(saved(links.unionByName(equal), "links"))
-    out = sizes.join(comps, sizes["doc_id"] == comps["id"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    dealt = cells.select("c", "i", "j", "id", "label", "data").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
+    return dealt.mapInArrow(search, "a long, b long")
+
+
+def _search_open(packed_sets: DataFrame, comps: DataFrame, num: int, den: int, seeds: int, block: int, block_shingles: int) -> DataFrame | None:
+    """Links between different components within large groups of candidates, or None where no such group is left.
+
+    Linked sets share a part's hash.  Of the sets with one hash those outside the commonest component (strays) meet all
+    others, block by block; a hash whose sets all lie in one component is settled.
+    """
+    large = packed_sets.where("parts > 1")
+    labels = comps.select(F.col("id").alias("_id"), F.col("component_id").alias("label"))
+    labelled = large.select("id", "c", "w").join(labels, F.col("id") == F.col("_id"), "left").select("id", "c", "w", F.coalesce("label", "id").alias("label"))
+    labelled = saved(labelled.distinct(), "labelled")
+    apart = labelled.groupBy(F.col("c").alias("_c")).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    apart = saved(apart.where("low <> high").select("_c", "n"), "apart")
+    if not apart.limit(1).count():
+        return None
+    left = saved(join_hot(labelled, "c", apart, "_c", "n").select("id", "w", "label"), "left")
+
+    @tidy
+    def keys(batches):
+        divide = Division(num, den)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                ids, out = [], []
+                for doc, data in zip(batch.column(0)[at : at + 256].to_pylist(), batch.column(1)[at : at + 256]):
+                    s = np.frombuffer(data.as_py(), np.uint64)
+                    k = np.unique(np.concatenate([divide.keys(s, x)[0] for x in range(seeds)]))
+                    ids.append(np.full(len(k), doc, np.int64))
+                    out.append(k)
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out).view(np.int64))], ["id", "key"])
+
+    data = large.select("id", "data").join(left.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi")
+    keyed = data.mapInArrow(keys, "id long, key long").join(left.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("id", "key", "w", "label")
+    keyed = saved(keyed, "keys")
+    per = keyed.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    per = per.groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("n"), F.sum("w").alias("all_w"), F.max(F.struct("n", "w", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    number = lambda n, w: F.greatest(F.ceil(n / block), F.ceil(w / block_shingles), F.lit(1)).cast("int")
+    per = per.select("_key", "n", F.col("top.label").alias("major"), number(F.col("n"), F.col("all_w")).alias("parts"), number(F.col("n") - F.col("top.n"), F.col("all_w") - F.col("top.w")).alias("strays"))
+    placed = join_hot(keyed, "key", saved(per, "open"), "_key", "n")
+    hashed = lambda of, m: F.pmod(F.xxhash64("id", F.lit(of)), F.col(m)).cast("int")
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda i: F.struct(i.alias("i"), hashed(1, "parts").alias("j")))
+    stray = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(hashed(2, "strays").alias("i"), j.alias("j")))
+    cells = placed.withColumn("at", F.explode(F.array_distinct(F.when(F.col("label") == F.col("major"), everywhere).otherwise(F.concat(everywhere, stray)))))
+    cells = cells.select(F.col("key").alias("c"), "at.i", "at.j", F.col("id").alias("_id"), "label")
+    cells = large.select("id", "data").join(cells, F.col("id") == F.col("_id")).select("c", "i", "j", "id", "label", "data")
+    return saved(_search(cells, num, den), "links")
