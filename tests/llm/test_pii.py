@@ -28,28 +28,38 @@ def base(text):
     return [(k, m.start(), m.end(), m.group()) for k, p in BASE.items() for m in re.finditer(p, text) if ok(k, m.group())]
 
 
-def brute(rows, alpha=1.0, min_texts=3):
-    texts = {t or "" for _, t, *_ in rows}
-    word = r"[^\W\d_]{3,}"
-    held, plain = {}, Counter()
-    for t in texts:
-        plain.update({w.lower() for w in re.findall(word, t)})
-        held[t] = {f"{k}:{v.lower() if k == 'email' else v if k == 'ip' else re.sub('[^0-9]', '', v)}" for k, _, _, v in base(t)}
-    n_c = Counter(c for cs in held.values() for c in cs)
-    masked = {}
+WORD = r"[^\W\d_]{3,}"
+
+
+def entities(found):
+    out = set()
+    for k, _, _, v in found:
+        v = v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)
+        wide = "@" + v.rpartition("@")[2] if k == "email" else v.rpartition(".")[0] + ".*" if k == "ip" else v[:6] + "*"
+        out |= {"any", k, f"{k}:{v}", f"{k}:{wide}"}
+    return out
+
+
+def disclosing(texts, alpha):
+    """(entity, term) pairs of different texts, and each text's entities."""
+    held, words = {}, {}
     for t in texts:
-        m = t
+        held[t], masked = entities(base(t)), t
         for p in BASE.values():
-            m = re.sub(p, " ", m)
-        masked[t] = {w.lower() for w in re.findall(word, m)}
-    n_ct = Counter((c, w) for t in texts for c in held[t] if n_c[c] >= min_texts for w in masked[t])
-    n = len(texts)
-    flagged = {(c, w) for (c, w), x in n_ct.items() if x >= min_texts and math.log2(n * x / (n_c[c] * max(x, plain[w]))) >= math.log2(n / n_c[c]) / alpha - 1e-9}
+            masked = re.sub(p, " ", masked)
+        words[t] = {w.lower() for w in re.findall(WORD, masked)}
+    n_c, n_t = Counter(c for cs in held.values() for c in cs), Counter(w for ws in words.values() for w in ws)
+    n_ct, n = Counter((c, w) for t in texts for c in held[t] for w in words[t]), len(texts)
+    return {(c, w) for (c, w), x in n_ct.items() if math.log2(n * x / (n_c[c] * n_t[w])) * x / (x + 1) >= math.log2(n / n_c[c]) / alpha - 1e-9}, held
+
+
+def brute(rows, alpha=1.4):
+    flagged, held = disclosing({t or "" for _, t, *_ in rows}, alpha)
     out = []
     for i, t, *_ in rows:
         b = base(t or "")
         terms = {w for c, w in flagged if c in held[t or ""]}
-        extra = [("term", m.start(), m.end()) for m in re.finditer(word, t or "") if m.group().lower() in terms and not any(s < m.end() and m.start() < e for _, s, e, _ in b)]
+        extra = [("term", m.start(), m.end()) for m in re.finditer(WORD, t or "") if m.group().lower() in terms and not any(s < m.end() and m.start() < e for _, s, e, _ in b)]
         listed = [f"{k}:{s}:{e}" for k, s, e, _ in b]
         counts = Counter(k for k, *_ in b)
         out.append((i, *(counts[k] for k in BASE), hashlib.sha256(",".join(listed).encode()).hexdigest(), ",".join(listed + [f"{k}:{s}:{e}" for k, s, e in extra])))
@@ -92,3 +102,14 @@ def test_clean_text(spark):
 def test_empty(spark):
     d = spark.createDataFrame([], SCHEMA)
     assert pii_spans(d).count() == 0 and pii_clean(d).count() == 0
+
+
+def test_whole_table(spark):
+    """The registered query on sf0.001 and sf0.01 equals brute force, and terms are found."""
+    from tidewell.llm.queries import op8_pii
+
+    for sf in ("sf0.001", "sf0.01"):
+        rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()]
+        want = brute(rows)
+        assert sorted(map(tuple, op8_pii(spark, f"/root/testdata/{sf}").collect()), key=repr) == want
+    assert any("term:" in r[-1] for r in want)

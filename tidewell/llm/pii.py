@@ -1,18 +1,21 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of terms that reveal them.  DataFrame functions only.
 
-A protected entity c is a personal value (an e-mail address, IP address, card or phone number).  Over the corpus' different
+A protected entity c is a personal value (an e-mail address, IP address, card or phone number), what it belongs to (the
+address' domain, the network, the issuer's or area's digits), its kind, or personal data at all.  Over the corpus' different
 texts, IC(c) = log2(N / n(c)) measures what naming c tells, and PMI(c, t) = log2(N n(c, t) / (n(c) n(t))) how much of it a
-term t tells.  In a document that holds c, a term with PMI(c, t) >= IC(c) / alpha discloses c (C-sanitisation, Sanchez and
-Batet) and is removed like c itself.  Entities and pairs seen in fewer than ``min_texts`` texts give no estimate: there
-every word of the text would seem to disclose its entity.
+term t tells.  Counts are small where entities are rare, so PMI is discounted by n(c, t) / (n(c, t) + 1) (Pantel and Lin).
+In a document that holds c, a term whose discounted PMI reaches IC(c) / alpha discloses c (C-sanitisation, Sanchez and
+Batet) and is generalised to a mark, like c itself.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import maybe_in, saved
+from tidewell.llm.common import join_hot, maybe_in, saved
 
 #: The kinds in their order with their patterns.  Possessive quantifiers and the look-behinds change no
 #: match (what they forbid could never be matched) but keep long runs from quadratic time and deep recursion.
@@ -27,6 +30,7 @@ _NEEDS = {"email": "@", "phone": "+", "ip": "."}
 _WORD = r"\p{L}{3,}+"
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 _BROADCAST_TERMS = 200_000
+ALPHA = 1.4
 
 
 def _valid(kind: str, v: Column) -> Column:
@@ -61,9 +65,15 @@ def spans(kind: str, text: Column) -> Column:
     return F.when(need, found).otherwise(F.array().cast(_SPAN))
 
 
-def _values(kind: str) -> Column:
-    """The entities that a column of spans mentions."""
-    return F.transform(F.col(kind), lambda x: _value(kind, x["v"]))
+def _entities(kind: str) -> Column:
+    """The entities that a column of spans mentions: values and what they belong to."""
+
+    def levels(x: Column) -> Column:
+        v = _value(kind, x["v"])
+        wide = {"email": F.concat(F.lit("@"), F.substring_index(v, "@", -1)), "ip": F.concat(F.substring_index(v, ".", 3), F.lit(".*"))}.get(kind, F.concat(F.substring(v, 1, 6), F.lit("*")))
+        return F.array(*[F.concat(F.lit(kind + ":"), c) for c in (v, wide)])
+
+    return F.flatten(F.transform(F.col(kind), levels))
 
 
 def _marks(kind: str) -> Column:
@@ -71,8 +81,8 @@ def _marks(kind: str) -> Column:
 
 
 def _value(kind: str, v: Column) -> Column:
-    """What makes two mentions one entity."""
-    return F.concat(F.lit(kind + ":"), F.lower(v) if kind == "email" else v if kind == "ip" else F.regexp_replace(v, "[^0-9]", ""))
+    """What makes two mentions one value."""
+    return F.lower(v) if kind == "email" else v if kind == "ip" else F.regexp_replace(v, "[^0-9]", "")
 
 
 def _listed(kinds, of) -> Column:
@@ -84,43 +94,54 @@ def _listed(kinds, of) -> Column:
 
 def _terms(text: Column) -> Column:
     """Distinct lower-case words of a text outside what the patterns match."""
+    bare = text
     for pattern in PATTERNS.values():
-        text = F.regexp_replace(text, pattern, " ")
+        bare = F.regexp_replace(bare, pattern, " ")
+    text = F.when(text.rlike("[0-9@]"), bare).otherwise(text)  # no pattern matches without
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
 
 
-def disclosing_terms(rows: DataFrame, entities: DataFrame, alpha: float, min_texts: int) -> DataFrame:
+def disclosing_terms(rows: DataFrame, entities: DataFrame, alpha: float) -> DataFrame:
     """(key, terms): the terms to remove from each text that holds an entity they disclose.
 
-    ``rows``: key, text, a row for each different text.  ``entities``: key, c.  Counts are taken over all rows.
+    ``rows``: key, text, a row for each different text.  ``entities``: key, c.  Counts are taken over all rows.  A pair
+    of fewer texts than 1 / (alpha - 1) cannot pass, nor can one whose largest possible count is too small, so such
+    entities, terms and pairs are left out early; this changes no result.
     """
-    n_c = entities.groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_texts)
-    held = saved(entities.join(n_c, "c"), "entities")
+    least = math.ceil(1 / (alpha - 1) - 1e-9)
+    n_c = saved(entities.groupBy(F.col("c").alias("_c")).agg(F.count("*").alias("n_c")).where(F.col("n_c") >= least), "counts")
+    held = saved(join_hot(entities, "c", n_c, "_c", "n_c").select("key", "c", "n_c"), "entities")
     keys = held.select(F.col("key").alias("k")).distinct()
     some = maybe_in(rows, "key", keys, "k").where("_maybe")  # other texts stay out of the shuffle
-    words = some.join(keys, F.col("key") == F.col("k")).select("key", F.explode(_terms(F.col("text"))).alias("t"))
-    pairs = words.join(held.withColumnRenamed("key", "k"), F.col("key") == F.col("k"))
-    pairs = pairs.groupBy("c", "t").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c")).where(F.col("n_ct") >= min_texts)
-    pairs = saved(pairs, "pairs")
-    asked = pairs.select(F.col("t").alias("asked")).distinct()
-    if pairs.count() <= _BROADCAST_TERMS:  # checked; beyond it the join shuffles
-        asked = F.broadcast(asked)
-    n_t = rows.select(F.explode(_terms(F.col("text"))).alias("t")).join(asked, F.col("t") == F.col("asked"), "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
-    total = rows.agg(F.count("*").alias("n"))
-    scored = pairs.join(n_t, "t").crossJoin(F.broadcast(total))  # one row
-    pmi = F.log2(F.col("n") * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    flagged = scored.where(pmi >= F.log2(F.col("n") / F.col("n_c")) / F.lit(float(alpha)) - 1e-9).select(F.col("c").alias("_c"), F.col("t").alias("_t"))
-    hit = held.join(flagged, F.col("c") == F.col("_c"))
-    return hit.groupBy("key").agg(F.array_sort(F.collect_set("_t")).alias("terms"))
-
-
-def _all_spans(docs: DataFrame, alpha: float, min_texts: int) -> tuple[DataFrame, DataFrame]:
+    words = saved(some.join(keys, F.col("key") == F.col("k")).select("key", F.explode(_terms(F.col("text"))).alias("t")), "words")
+    seen = saved(words.groupBy(F.col("t").alias("asked")).agg(F.count("*").alias("n_own")).where(F.col("n_own") >= least), "asked")
+    every = rows.select(F.explode(_terms(F.col("text"))).alias("t"))
+    if seen.count() <= _BROADCAST_TERMS:  # checked; beyond it all words are counted, combined before the shuffle
+        every = every.join(F.broadcast(seen), F.col("t") == F.col("asked"), "left_semi")
+    n_t = saved(every.groupBy("t").agg(F.count("*").alias("n_t")).join(seen, F.col("t") == F.col("asked")).select("asked", "n_own", "n_t"), "terms")
+    n = float(rows.count())
+
+    def discloses(n_ct: Column) -> Column:
+        tells = F.log2(F.lit(n) * n_ct / (F.col("n_c") * F.col("n_t"))) * n_ct / (n_ct + 1)
+        return tells >= F.log2(F.lit(n) / F.col("n_c")) / F.lit(float(alpha)) - 1e-9
+
+    counted = join_hot(words, "t", n_t, "asked", "n_own").select(F.col("key").alias("k"), "t", "n_own", "n_t")
+    pairs = counted.join(held, (F.col("k") == F.col("key")) & discloses(F.least("n_c", "n_own")))
+    pairs = saved(pairs.select("key", "c", "n_c", "t", "n_t", F.concat_ws(" ", "t", "c").alias("pair")), "pairs")
+    flagged = pairs.groupBy(F.col("pair").alias("_pair")).agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
+    flagged = saved(flagged.where((F.col("n_ct") >= least) & discloses(F.col("n_ct"))).select("_pair", "n_ct"), "flagged")
+    hit = join_hot(pairs.select("key", "t", "pair"), "pair", flagged, "_pair", "n_ct")
+    return hit.groupBy("key").agg(F.array_sort(F.collect_set("t")).alias("terms"))
+
+
+def _all_spans(docs: DataFrame, alpha: float) -> tuple[DataFrame, DataFrame]:
     """Rows (row columns in ``row``, raw, text, key) and their spans (doc_id, key, a column for each kind), saved."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("raw"), text.alias("text"))
     rows = rows.withColumn("key", F.sha2(F.col("text"), 256))
     found = saved(rows.select(F.col("row.doc_id").alias("doc_id"), "key", *[spans(k, F.col("text")).alias(k) for k in PATTERNS]), "spans")
-    values = F.array_distinct(F.concat(*map(_values, PATTERNS)))
+    kinds = F.filter(F.array(F.lit("any"), *[F.when(F.size(k) > 0, F.lit(k)) for k in PATTERNS]), lambda k: k.isNotNull())
+    values = F.array_distinct(F.concat(*map(_entities, PATTERNS), kinds))
     entities = found.where(" or ".join(f"size({k}) > 0" for k in PATTERNS)).groupBy("key").agg(F.first(values).alias("cs")).select("key", F.explode("cs").alias("c"))
     copies = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("many"))
     copies = saved(copies, "copies")
@@ -128,7 +149,7 @@ def _all_spans(docs: DataFrame, alpha: float, min_texts: int) -> tuple[DataFrame
     some = split.where("_maybe").drop("_maybe")
     once = split.where("not _maybe").drop("_maybe").unionByName(some.join(copies, F.col("key") == F.col("many"), "left_anti"))
     again = some.join(copies, F.col("key") == F.col("many"), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    terms = saved(disclosing_terms(once.unionByName(again), entities, alpha, min_texts), "terms")
+    terms = saved(disclosing_terms(once.unionByName(again), entities, alpha), "terms")
     gone = terms.select(F.col("key").alias("k"), "terms")
     hit = maybe_in(rows.select("key", "text"), "key", gone, "k").where("_maybe").join(gone, F.col("key") == F.col("k")).groupBy("key").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
     placed = _fold(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.split("text", _WORD, -1), lambda v: F.array_contains(F.col("terms"), F.lower(v)))
@@ -139,15 +160,16 @@ def _all_spans(docs: DataFrame, alpha: float, min_texts: int) -> tuple[DataFrame
     return rows, out.withColumn("term", clear)
 
 
-def pii_spans(docs: DataFrame, alpha: float = 1.0, min_texts: int = 3) -> DataFrame:
+def pii_spans(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Finds personal data in whole texts: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     ``spans`` lists kind:start:end by kind (email, ip, card, phone, term) and start, comma-joined; base_sha256 is the
-    SHA-256 of the same list without terms.  A null text counts as empty; rows map one to one, repeated rows stay and
+    SHA-256 of the same list without terms.  ``alpha`` (above 1) is how much of an entity's information a term may tell: the
+    larger it is the more terms go.  A null text counts as empty; rows map one to one, repeated rows stay and
     count once in the corpus statistics (these are over different texts); ties and null ids need no rule; an empty table
     gives no rows; other columns are ignored.
     """
-    _, out = _all_spans(docs.select("doc_id", "text"), alpha, min_texts)
+    _, out = _all_spans(docs.select("doc_id", "text"), alpha)
     return out.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS],
@@ -156,12 +178,12 @@ def pii_spans(docs: DataFrame, alpha: float = 1.0, min_texts: int = 3) -> DataFr
     )
 
 
-def pii_clean(docs: DataFrame, alpha: float = 1.0, min_texts: int = 3) -> DataFrame:
+def pii_clean(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """``docs`` with every span of ``pii_spans`` in text replaced by its kind in brackets.
 
     Overlapping spans become one, under the kind that starts first; a null text stays null; all columns and rows stay.
     """
-    rows, out = _all_spans(docs, alpha, min_texts)
+    rows, out = _all_spans(docs, alpha)
     marks = F.array_sort(F.concat(*map(_marks, KINDS)))
     marked = saved(out.select(F.col("key").alias("k"), marks.alias("marks")).where("size(marks) > 0").groupBy("k").agg(F.first("marks").alias("marks")), "marks")
     split = maybe_in(rows, "key", marked, "k")
