@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidewell.llm.tjoin import Division, Shingler, jaccard_join, search_block
+from tidewell.llm.tjoin import Shingler, Similarity, jaccard_join, merge_skip, search_block
 
 
 def brute(rows, n, num, den):
@@ -65,7 +65,7 @@ def test_empty(spark):
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(0)
     for num, den in ((90, 100), (80, 100)):
-        divide = Division(num, den)
+        divide = Similarity(num, den, rng.integers(0, 9, 1 << 10, dtype=np.uint8))
         for _ in range(400):
             a = rng.integers(0, 2**64, rng.integers(1, 700), dtype=np.uint64)
             b = a.copy()
@@ -80,13 +80,16 @@ def test_linked_sets_share_a_key():
                     break
                 b = c
             a, b = np.sort(a), np.sort(b)
-            shared = False
-            for seed in range(8):
-                (x, fx), (y, fy) = divide.keys(a, seed), divide.keys(b, seed)
-                shared |= bool(len(np.intersect1d(x, y)))
-                if (fx if len(a) <= len(b) else fy) or shared:
-                    break
-            assert shared
+            assert len(np.intersect1d(divide.keys(a), divide.keys(b)))
+
+
+def test_merge_skip():
+    rng = random.Random(5)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(60), rng.randint(1, 40))) for _ in range(rng.randint(1, 9))]
+        least = rng.randint(1, len(lists))
+        counts = {j: sum(j in x for x in lists) for j in range(60)}
+        assert list(merge_skip(lists, least)) == [(j, n) for j, n in counts.items() if n >= least]
 
 
 def test_search_block():
@@ -99,7 +102,7 @@ def test_search_block():
             for _ in range(rng.randint(0, 3)):
                 s ^= {rng.choice(universe)}
             sets.append(s or {1})
-        divide = Division(80, 100)
+        divide = Similarity(80, 100)
         got = search_block([np.array(sorted(s), np.uint64) for s in sets], divide)
         assert [(i, len(s), c) for i, s, c in zip(range(99), sets, got)] == brute_sets(sets)
 

@@ -1,17 +1,16 @@
 """Exact n-gram Jaccard join of documents by T-occurrence search (DivideSkip).
 
-1. Blocking, exact by the pigeonhole principle.  Two sets linked at similarity t differ in at most d = n (1 - t) / t of
-   the smaller set's n shingles.  Cut the space of shingle hashes into m parts so that a set has at least d + 1 parts that
-   are not empty: one of those must agree completely, so linked sets share a part's hash.  Small sets use prefixes instead
-   (at least one shared shingle lies among the n - ceil(t n) + 1 smallest hashes of both).  Sets that leave too many parts
-   empty under one division are compared again under another, until none is left.
-2. Documents that share a hash are candidates, and their components are groups (over star edges, no pairs are written).
+1. Blocking, exact by prefixes.  In any one order of all shingles, two sets linked at similarity t share one of the first
+   n - ceil(t n) + 1 shingles of each.  Rare shingles come first, by a sketch of counts over all documents (of fixed size,
+   so it may misjudge; the order changes the number of candidates only), so passages that many documents share make no
+   candidates unless they are nearly the whole text.
+2. Documents that share such a shingle are candidates, and their components are groups (over star edges, no pairs are written).
    A group is a block, or, if it is large, several blocks that have some sets in common.
 3. In a block, T-occurrence search decides: every set looks up its shingles' inverted lists, merges the short ones with a
    heap that skips, probes the long ones by binary search, and keeps sets that reach the overlap its similarity needs.
    Only links between different components are searched, since the result is the components.
-4. Where the blocks of a large group leave sets apart, those that share a part's hash meet again (see _search_open), so
-   candidates that chain up without being linked cost what their shared parts hold, not the square of the group.
+4. Where the blocks of a large group leave sets apart, those that share a shingle of their prefixes meet again (see
+   _search_open), so candidates that chain up without being linked cost what shares a shingle, not the group's square.
 
 Equal sets are one set in steps 2 to 4.
 """
@@ -19,7 +18,6 @@ Equal sets are one set in steps 2 to 4.
 from __future__ import annotations
 
 import bisect
-import functools
 import heapq
 import math
 
@@ -32,12 +30,13 @@ from tidewell.llm.common import join_hot, maybe_in, mix64, powers, saved, tidy
 from tidewell.llm.components import components, forest
 
 _SPACE = 32
-_PREFIX_UP_TO = 40
 _EDGES = 1 << 19
 _HELD = 1 << 19  # keys that a task sorts at once
 _MU = 0.01  # DivideSkip: how dear a probe is, which sets the number of long lists
 _ANCHORS = 32  # sets that the blocks of a large group have in common
-_SIZE, _EQUAL, _NEAR, _OPEN = 0, 1, 2, 3  # kinds of rows: size of a set, equal sets, sets to compare, sets to divide again
+_SIZE, _EQUAL, _NEAR = 0, 1, 2  # kinds of rows: size of a set, equal sets, sets to compare
+_COUNTERS = 1 << 22  # of the sketch: four megabytes
+_CHUNK = 1 << 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -74,69 +73,69 @@ class Shingler:
         return np.unique(out)
 
 
-class Division:
-    """Size classes, and how the sets of a class are divided, for similarity num / den."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.starts = [1]
-
-    def class_of(self, n: int) -> int:
-        """Linked sets lie in one class or in neighbouring ones."""
-        while self.starts[-1] <= n:
-            self.starts.append((self.starts[-1] * self.den) // self.num + 1)
-        return int(np.searchsorted(self.starts, n, side="right")) - 1
-
-    @functools.lru_cache(None)  # noqa: B019
-    def parts(self, c: int) -> tuple[int, int]:
-        """(parts, most differences) of pairs whose smaller set is of class c; no parts: prefixes."""
-        self.class_of(self.starts[c] if c < len(self.starts) else 1)
-        while len(self.starts) < c + 2:
-            self.class_of(self.starts[-1])
-        low, high = self.starts[c], self.starts[c + 1] - 1
-        if low <= _PREFIX_UP_TO:
-            return 0, 0
-        d = high * (self.den - self.num) // self.num
-        m = d + 1
-        while True:  # the chance that m - d parts of m are empty for the class's smallest sets (union bound)
-            e = m - d
-            chance = math.lgamma(m + 1) - math.lgamma(e + 1) - math.lgamma(d + 1) + low * math.log(d / m) if d else -math.inf
-            if chance <= math.log(1e-15):
-                return m, d
-            if m > low:  # low similarities: no division is fine enough
-                return 0, 0
-            m += 1
-
-    def prefix(self, n: int) -> int:
-        return n - -(-n * self.num // self.den) + 1
-
-    def keys(self, s: np.ndarray, seed: int) -> tuple[np.ndarray, bool]:
-        """Hashes of a set of which linked sets share one, and whether the division (``seed``) was fine enough."""
-        own, out, fine = self.class_of(len(s)), [], True
-        with np.errstate(over="ignore"):
-            for c in (own, own - 1):
-                if c < 0:
-                    continue
-                m, d = self.parts(c)
-                tag = np.uint64(c + 1) * _ODD[1] + np.uint64(seed) * _ODD[2]
-                if not m:
-                    if seed == 0:
-                        out.append(mix64(s[: self.prefix(len(s))] + tag))
-                    continue
-                h = np.sort(mix64(s * _ODD[3] + np.uint64(seed))) if seed else s
-                bounds = (np.arange(m + 1, dtype=np.float64) * (2.0**64 / m))[1:-1].astype(np.uint64)
-                cut = np.concatenate([[0], np.searchsorted(h, bounds), [len(h)]])
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ _ODD[4]), dtype=np.uint64)])
-                full = np.flatnonzero(cut[1:] > cut[:-1])
-                out.append(mix64((sums[cut[full + 1]] - sums[cut[full]]) * _ODD[0] + full.astype(np.uint64) * _ODD[2] + tag))
-                if c == own and len(full) <= d:
-                    fine = False
-        return (np.concatenate(out) if out else np.zeros(0, np.uint64)), fine
+class Similarity:
+    """The threshold num / den, and the keys of which linked sets share one; ``ranks``: rarer shingles have smaller ones."""
+
+    def __init__(self, num: int, den: int, ranks: np.ndarray | None = None):
+        self.num, self.den, self.ranks = num, den, ranks
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """The first n - ceil(t n) + 1 shingles of a set (of n, sorted) in order of rank and hash."""
+        first = len(s) - -(-len(s) * self.num // self.den) + 1
+        if self.ranks is not None and len(s):
+            s = s[np.argsort(self.ranks[(s % np.uint64(len(self.ranks))).astype(np.int64)], kind="stable")]
+        return s[:first]
 
     def linked(self, common: int, a: int, b: int) -> bool:
         return self.den * common >= self.num * (a + b - common)
 
 
+def shingle_ranks(base: DataFrame, n: int, counters: int = _COUNTERS) -> np.ndarray:
+    """Logarithmic ranks (a byte for each hashed shingle) by how many of all documents hold it."""
+
+    @tidy
+    def count(batches):
+        shingle, counts = Shingler(n), np.zeros(counters, np.uint8)
+        held, size = [], 0
+
+        def add():
+            np.minimum(counts + np.minimum(np.bincount(np.concatenate(held), minlength=counters), 255).astype(np.uint16), 255, out=counts, casting="unsafe")
+
+        for batch in batches:
+            for text in batch.column(1):
+                s = shingle(text.as_py())
+                held.append((s % np.uint64(counters)).astype(np.int64))
+                size += len(s)
+                if size >= 1 << 21:
+                    add()
+                    held, size = [], 0
+        if size:
+            add()
+        some = [k for k in range(0, counters, _CHUNK) if counts[k : k + _CHUNK].any()]
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([k // _CHUNK for k in some], pa.int32()), pa.array([counts[k : k + _CHUNK].tobytes() for k in some], pa.binary())], ["chunk", "counts"])
+
+    @tidy
+    def add_up(batches):
+        at, total = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(16 * np.log2(1.0 + total), 255).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "ranks"])
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if chunk != at:
+                    if at is not None:
+                        yield row()
+                    at, total = chunk, np.zeros(min(counters, _CHUNK), np.int64)
+                total += np.frombuffer(counts.as_py(), np.uint8)
+        if at is not None:
+            yield row()
+
+    parts = base.mapInArrow(count, "chunk int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    ranks = np.zeros(counters, np.uint8)
+    for r in saved(parts.mapInArrow(add_up, "chunk int, ranks binary"), "ranks").toLocalIterator():  # ``counters`` bytes in all
+        ranks[r.chunk * _CHUNK : r.chunk * _CHUNK + _CHUNK] = np.frombuffer(r.ranks, np.uint8)
+    return ranks
+
+
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows sorted by key and id: (first of each key: key, id), and (other, first) for the keys' other ids."""
     order = np.lexsort((ids, keys))
@@ -168,11 +167,11 @@ def _emit(kind: int, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array((-1 - np.arange(n) % 1009).astype(np.int32)), a, pa.array(b, pa.int64()), none, none], ["kind", "bucket", "a", "b", "keys", "ids"])
 
 
-def _hash_sets(n: int, num: int, den: int, seed: int, buckets: int):
+def _hash_sets(n: int, num: int, den: int, ranks, buckets: int):
     """Per task: sizes, local stars, and each bucket's keys (for exact and near matches) in packed form."""
 
     def run(batches):
-        shingle, divide = Shingler(n), Division(num, den)
+        shingle, divide = Shingler(n), Similarity(num, den, ranks.value)
         keys, ids, kinds, held = [], [], [], 0
         top = np.uint64(buckets)
 
@@ -185,7 +184,7 @@ def _hash_sets(n: int, num: int, den: int, seed: int, buckets: int):
                 k, i, other, first = _stars(k, i)
                 if len(other):
                     yield _emit(kind, *_pairs(other, first))
-                at = (k % top).astype(np.int32)
+                at = (mix64(k) % top).astype(np.int32)  # shingles of one sketch counter are not of one bucket
                 order = np.argsort(at, kind="stable")
                 k, i, at = k[order], i[order], at[order]
                 starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -195,19 +194,16 @@ def _hash_sets(n: int, num: int, den: int, seed: int, buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(at[starts]), none, none, pa.array([k[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()), pa.array([i[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], ["kind", "bucket", "a", "b", "keys", "ids"])
 
         for batch in batches:
-            sizes, open_ids = [], []
+            sizes = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle(text.as_py())
                 sizes.append(len(s))
                 if doc is None or not len(s):
                     continue
-                if seed == 0:
-                    keys.append(mix64(np.array([np.add.reduce(mix64(s ^ _ODD[1])) ^ np.uint64(len(s))], np.uint64)))
-                    ids.append(np.array([doc], np.int64))
-                    kinds.append(_EQUAL)
-                k, fine = divide.keys(s, seed)
-                if not fine and not any(divide.keys(s, x)[1] for x in range(seed)):
-                    open_ids.append(doc)
+                keys.append(mix64(np.array([np.add.reduce(mix64(s ^ _ODD[1])) ^ np.uint64(len(s))], np.uint64)))
+                ids.append(np.array([doc], np.int64))
+                kinds.append(_EQUAL)
+                k = divide.keys(s)
                 keys.append(k)
                 ids.append(np.full(len(k), doc, np.int64))
                 kinds.append(_NEAR)
@@ -215,10 +211,7 @@ def _hash_sets(n: int, num: int, den: int, seed: int, buckets: int):
                 if held >= _HELD:
                     yield from flush()
                     keys, ids, kinds, held = [], [], [], 0
-            if seed == 0:
-                yield _emit(_SIZE, batch.column(0).cast(pa.int64()), sizes)
-            if open_ids:
-                yield _emit(_OPEN, open_ids, open_ids)
+            yield _emit(_SIZE, batch.column(0).cast(pa.int64()), sizes)
         yield from flush()
 
     return run
@@ -276,7 +269,7 @@ def _match(batches):
     yield from compare(none, none, True)
 
 
-def search_block(sets: list[np.ndarray], divide: Division, label: np.ndarray | None = None) -> np.ndarray:
+def search_block(sets: list[np.ndarray], divide: Similarity, label: np.ndarray | None = None) -> np.ndarray:
     """Component labels (positions of the smallest member) of sets under the join's links.
 
     ``label``: components that are known already.  DivideSkip: a set's short inverted lists are merged by a heap that skips
@@ -373,21 +366,15 @@ def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90,
 
     A block holds up to ``block`` sets and about ``block_shingles`` shingles (one set at least).  Larger groups of
     candidates are searched in blocks that have some sets in common, and what these leave apart is searched again, by the
-    parts that the sets share, between sets of different components only.
+    shingles that the sets share, between sets of different components only.
     """
     spark = docs.sparkSession
     num, den = similarity
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(16, -(-base.count() // bucket_docs) * 16)
-    found, seed = None, 0
-    while True:
-        run = tidy(_hash_sets(n, num, den, seed, buckets))
-        packed = base.mapInArrow(run, _BLOB).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-        step = saved(packed.mapInArrow(tidy(_match), "kind int, a long, b long"), "matches")
-        found = step if found is None else found.unionByName(step)
-        seed += 1
-        if not step.where(F.col("kind") == _OPEN).limit(1).count():
-            break
+    ranks = spark.sparkContext.broadcast(shingle_ranks(base, n))
+    packed = base.mapInArrow(tidy(_hash_sets(n, num, den, ranks, buckets)), _BLOB).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    found = saved(packed.mapInArrow(tidy(_match), "kind int, a long, b long"), "matches")
     sizes = found.where(F.col("kind") == _SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     equal = found.where(F.col("kind") == _EQUAL).select("a", "b").distinct()
     near = found.where(F.col("kind") == _NEAR).select("a", "b")
@@ -424,7 +411,7 @@ def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90,
     links = saved(_search(cells, num, den).unionByName(equal), "links")
     comps = components(links)
     if large:
-        more = _search_open(packed_sets, comps, num, den, seed, block, block_shingles)
+        more = _search_open(packed_sets, comps, num, den, ranks, block, block_shingles)
         if more is not None:
             comps = components(links.unionByName(more))
     out = sizes.join(comps, sizes["doc_id"] == comps["id"], "left")
@@ -436,7 +423,7 @@ def _search(cells: DataFrame, num: int, den: int) -> DataFrame:
 
     @tidy
     def search(batches):
-        divide = Division(num, den)
+        divide = Similarity(num, den)
         held, held_at = [], None
 
         def flush():
@@ -465,11 +452,11 @@ def _search(cells: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long")
 
 
-def _search_open(packed_sets: DataFrame, comps: DataFrame, num: int, den: int, seeds: int, block: int, block_shingles: int) -> DataFrame | None:
+def _search_open(packed_sets: DataFrame, comps: DataFrame, num: int, den: int, ranks, block: int, block_shingles: int) -> DataFrame | None:
     """Links between different components within large groups of candidates, or None where no such group is left.
 
-    Linked sets share a part's hash.  Of the sets with one hash those outside the commonest component (strays) meet all
-    others, block by block; a hash whose sets all lie in one component is settled.
+    Linked sets share a key (a shingle of their prefixes).  Of the sets with one key those outside the commonest component
+    (strays) meet all others, block by block; a key whose sets all lie in one component is settled.
     """
     large = packed_sets.where("parts > 1")
     labels = comps.select(F.col("id").alias("_id"), F.col("component_id").alias("label"))
@@ -483,13 +470,13 @@ def _search_open(packed_sets: DataFrame, comps: DataFrame, num: int, den: int, s
 
     @tidy
     def keys(batches):
-        divide = Division(num, den)
+        divide = Similarity(num, den, ranks.value)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 ids, out = [], []
                 for doc, data in zip(batch.column(0)[at : at + 256].to_pylist(), batch.column(1)[at : at + 256]):
                     s = np.frombuffer(data.as_py(), np.uint64)
-                    k = np.unique(np.concatenate([divide.keys(s, x)[0] for x in range(seeds)]))
+                    k = divide.keys(s)
                     ids.append(np.full(len(k), doc, np.int64))
                     out.append(k)
                 if ids:
