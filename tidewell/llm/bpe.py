@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import tidy
 
 LONG = 256
-_CACHE_ENTRIES = 50_000
+_CACHE_ENTRIES = 200_000
 _NONE = 1 << 60
 #: The characters with the Unicode property White_Space, as a regex class.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -112,7 +112,7 @@ class WordBpe:
         found = ids, len(ids), " ".join(map(str, ids)), self.decode(ids)
         if len(self._chunks) >= _CACHE_ENTRIES:
             self._chunks.clear()
-        if len(chunk) <= 64:  # so that the entries are some 30 MB at most
+        if len(chunk) <= 64:  # so that the entries are some 100 MB at most
             self._chunks[chunk] = found
         return found
 

@@ -46,6 +46,13 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the operating system; processes of long life (driver, workers) would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(run):
     """``run`` for mapInArrow, after which the worker process gives freed memory back: workers outlive their tasks."""
 
@@ -54,9 +61,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return wrapped
 
@@ -93,14 +98,16 @@ def hot_bound(total: int) -> int:
     return max(HOT_ROWS, total // HOT_KEYS)
 
 
-def join_hot(rows: DataFrame, key: str, table: DataFrame, id: str, n: str) -> DataFrame:  # noqa: A002
+def join_hot(rows: DataFrame, key: str, table: DataFrame, id: str, n: str, total: int | None = None) -> DataFrame:  # noqa: A002
     """Inner join of ``rows`` with ``table`` (one row for each ``id``, of which ``n`` says how many rows hold it).
 
     Rows of hot keys meet their few table rows by broadcast (a bounded number, see ``hot_bound``) and stay where they are;
-    the others are shuffled, none of their keys being hot.
+    the others are shuffled, none of their keys being hot.  ``total``: the number of rows, where it is known.
     """
-    bound = hot_bound(rows.count())
+    bound = hot_bound(rows.count() if total is None else total)
     hot, cold = table.where(F.col(n) > bound), table.where(F.col(n) <= bound)
+    if not hot.limit(1).count():
+        return rows.join(table, F.col(key) == F.col(id))
     near = rows.join(F.broadcast(hot), F.col(key) == F.col(id))
     far = rows.join(F.broadcast(hot.select(F.col(id).alias("_hot"))), F.col(key) == F.col("_hot"), "left_anti")
     return near.unionByName(far.join(cold, F.col(key) == F.col(id)))

@@ -71,14 +71,13 @@ def components(edges: DataFrame) -> DataFrame:
     small = saved(clean.mapInArrow(tidy(_contract), "a long, b long").distinct(), "forest")
     both = small.union(small.select("b", "a"))
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("lab"), F.count("*").alias("n")), "labels")
-    degrees = labels.select(F.col("id").alias("_id"), "n")
-    labels = labels.select("id", "lab")
+    ends, nodes = both.count(), labels.count()
     while True:
-        known = labels.join(degrees, F.col("id") == F.col("_id")).select("id", "lab", "n")
-        near = join_hot(both, "b", known, "id", "n").groupBy("a").agg(F.min("lab").alias("near"))
-        met = saved(labels.join(near, F.col("id") == F.col("a")).select("id", "lab", F.least("lab", "near").alias("new")), "met")
+        near = join_hot(both, "b", labels, "id", "n", ends).groupBy("a").agg(F.min("lab").alias("near"))
+        met = saved(labels.join(near, F.col("id") == F.col("a")).select("id", "lab", F.least("lab", "near").alias("new"), "n"), "met")
         if not met.where("new <> lab").limit(1).count():  # no edge joins two labels
-            return labels.withColumnRenamed("lab", "component_id")
-        held = met.groupBy(F.col("new").alias("_new")).agg(F.count("*").alias("n"))
-        target = held.join(met.select(F.col("id").alias("to"), F.col("new").alias("next")), F.col("_new") == F.col("to")).select("to", "next", "n")
-        labels = saved(join_hot(met, "new", target, "to", "n").select("id", F.least("new", "next").alias("lab")), "labels")
+            return labels.select("id", F.col("lab").alias("component_id"))
+        held = met.groupBy(F.col("new").alias("_new")).agg(F.count("*").alias("held"))
+        target = held.join(met.select(F.col("id").alias("to"), F.col("new").alias("next")), F.col("_new") == F.col("to")).select("to", "next", "held")
+        jumped = join_hot(met, "new", saved(target, "target"), "to", "held", nodes)
+        labels = saved(jumped.select("id", F.least("new", "next").alias("lab"), "n"), "labels")

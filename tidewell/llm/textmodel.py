@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import mix64, powers, tidy
+from tidewell.llm.common import give_back, mix64, powers, tidy
 
 GRAMS = (3, 4, 5)
 _SPACE = 32
@@ -139,7 +139,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 2500, epo
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text")).where("_text is not null")
     sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "_text", "_y").toArrow()  # max_train ids bound the broadcast
     rows = sorted(zip(sample["_doc"].to_pylist(), sample["_text"].to_pylist(), sample["_y"].to_pylist()))[:max_train]
-    return SubwordModel().fit([r[1] for r in rows], [r[2] for r in rows], epochs)
+    model = SubwordModel().fit([r[1] for r in rows], [r[2] for r in rows], epochs)
+    del sample, rows
+    give_back()
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 2500) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ _HELD = 1 << 19  # keys that a task sorts at once
 _MU = 0.01  # DivideSkip: how dear a probe is, which sets the number of long lists
 _ANCHORS = 32  # sets that the blocks of a large group have in common
 _SIZE, _EQUAL, _NEAR = 0, 1, 2  # kinds of rows: size of a set, equal sets, sets to compare
-_COUNTERS = 1 << 22  # of the sketch: four megabytes
+_COUNTERS = 22, 25  # powers of two: the sketch has from 4 to 32 megabytes
 _CHUNK = 1 << 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -90,30 +91,30 @@ class Similarity:
         return self.den * common >= self.num * (a + b - common)
 
 
-def shingle_ranks(base: DataFrame, n: int, counters: int = _COUNTERS) -> np.ndarray:
+def shingle_ranks(base: DataFrame, n: int, counters: int) -> np.ndarray:
     """Logarithmic ranks (a byte for each hashed shingle) by how many of all documents hold it."""
 
     @tidy
     def count(batches):
-        shingle, counts = Shingler(n), np.zeros(counters, np.uint8)
+        shingle, counts = Shingler(n), np.zeros(counters, np.uint16)
         held, size = [], 0
 
         def add():
-            np.minimum(counts + np.minimum(np.bincount(np.concatenate(held), minlength=counters), 255).astype(np.uint16), 255, out=counts, casting="unsafe")
+            np.add.at(counts, np.concatenate(held), np.uint16(1))
+            np.minimum(counts, 60_000, out=counts)
 
         for batch in batches:
             for text in batch.column(1):
-                s = shingle(text.as_py())
-                held.append((s % np.uint64(counters)).astype(np.int64))
-                size += len(s)
-                if size >= 1 << 21:
+                held.append((shingle(text.as_py()) % np.uint64(counters)).astype(np.int64))
+                size += len(held[-1])
+                if size >= 1 << 20 or len(held) >= 4096:
                     add()
                     held, size = [], 0
-        if size:
+        if held:
             add()
         some = [k for k in range(0, counters, _CHUNK) if counts[k : k + _CHUNK].any()]
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([k // _CHUNK for k in some], pa.int32()), pa.array([counts[k : k + _CHUNK].tobytes() for k in some], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k // _CHUNK for k in some], pa.int32()), pa.array([zlib.compress(np.minimum(counts[k : k + _CHUNK], 255).astype(np.uint8).tobytes(), 1) for k in some], pa.binary())], ["chunk", "counts"])
 
     @tidy
     def add_up(batches):
@@ -125,7 +126,7 @@ def shingle_ranks(base: DataFrame, n: int, counters: int = _COUNTERS) -> np.ndar
                     if at is not None:
                         yield row()
                     at, total = chunk, np.zeros(min(counters, _CHUNK), np.int64)
-                total += np.frombuffer(counts.as_py(), np.uint8)
+                total += np.frombuffer(zlib.decompress(counts.as_py()), np.uint8)
         if at is not None:
             yield row()
 
@@ -371,8 +372,10 @@ def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90,
     spark = docs.sparkSession
     num, den = similarity
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = max(16, -(-base.count() // bucket_docs) * 16)
-    ranks = spark.sparkContext.broadcast(shingle_ranks(base, n))
+    n_docs, letters = base.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    buckets = max(16, -(-n_docs // bucket_docs) * 16)
+    counters = 1 << min(_COUNTERS[1], max(_COUNTERS[0], (letters // 64).bit_length()))  # about a counter for ten shingles
+    ranks = spark.sparkContext.broadcast(shingle_ranks(base, n, counters))
     packed = base.mapInArrow(tidy(_hash_sets(n, num, den, ranks, buckets)), _BLOB).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     found = saved(packed.mapInArrow(tidy(_match), "kind int, a long, b long"), "matches")
     sizes = found.where(F.col("kind") == _SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
