@@ -99,8 +99,13 @@ def merge_shards(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 class Store:
-    """Named datasets as tables of a Spark database, with append-only, update-only and full modes and a batch ledger."""
+    """Named datasets as tables of a Spark database, with append-only, update-only and full modes.
 
+    Rows carry the id of the batch that brought them in a hidden column, so a batch and its ledger are one commit: after
+    a crash a batch is there with its id or not at all.
+    """
+
+    BATCH = "_batch_id"
     MODES = ("append-only", "update-only", "full-crud")
 
     def __init__(self, spark: SparkSession, database: str = "default", mode: str = "full-crud"):
@@ -113,10 +118,10 @@ class Store:
         return f"`{self.database}`.`{dataset}`"
 
     def create(self, dataset: str, schema: T.StructType) -> None:
-        self.spark.createDataFrame([], schema).write.format("parquet").saveAsTable(self.name(dataset))
+        self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(self.BATCH, T.StringType())])).write.format("parquet").saveAsTable(self.name(dataset))
 
     def names(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.name.startswith("_"))
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary and not t.name.startswith("_"))
 
     def drop(self, dataset: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name(dataset)}")
@@ -130,24 +135,26 @@ class Store:
         return self.spark.table(self.name(dataset))
 
     def open(self, dataset: str) -> Dataset:
-        return Dataset(self._table(dataset))
+        return Dataset(self._table(dataset).drop(self.BATCH))
 
     def append(self, dataset: str, rows: DataFrame, batch_id: str | None = None) -> bool:
-        """Appends; a batch id that the ledger holds is skipped (False).  The schema must be the table's."""
+        """Appends; a batch id that the table holds is skipped (False).  The schema must be the table's.
+
+        A batch without rows leaves nothing behind and may come again.
+        """
         if self.mode == "update-only":
             raise PermissionError("appending is locked")
         target = self._table(dataset)
-        if [(f.name, f.dataType) for f in rows.schema] != [(f.name, f.dataType) for f in target.schema]:
+        if [(f.name, f.dataType) for f in rows.schema] != [(f.name, f.dataType) for f in target.drop(self.BATCH).schema]:
             raise TypeError("schema differs from the table's")
-        if batch_id is not None:
-            ledger = self.name("_batches")
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {ledger} (dataset STRING, batch_id STRING) USING parquet")
-            known = self._table("_batches").where((F.col("dataset") == dataset) & (F.col("batch_id") == batch_id))
-            if known.limit(1).count():
-                return False
+        if self.BATCH not in target.columns:
+            if batch_id is not None:
+                raise TypeError("the table was not made by a store and keeps no batch ids")
+        elif batch_id is not None and target.where(F.col(self.BATCH) == batch_id).limit(1).count():  # Parquet statistics skip other batches' files
+            return False
+        else:
+            rows = rows.withColumn(self.BATCH, F.lit(batch_id).cast("string"))
         rows.write.format("parquet").mode("append").insertInto(self.name(dataset))
-        if batch_id is not None:
-            self.spark.createDataFrame([(dataset, batch_id)], "dataset string, batch_id string").write.mode("append").insertInto(self.name("_batches"))
         return True
 
     def health(self) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,13 +65,17 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], dialect: st
     text = re.sub(r"%\((\w+)\)s", r":\1", text)
     names = {}
     for name, df in tables.items():
-        view = f"tidewell_{name}"
+        view = f"tidewell_{name}_{uuid.uuid4().hex}"
         df.createOrReplaceTempView(view)
         names[name] = view
     for name, view in names.items():
         text = _outside_strings(text, lambda s, n=name, v=view: re.sub(rf"(\b(?:FROM|JOIN)\s+)`?{n}`?\b(?!\s+AS\b)(?=\s*(?:$|WHERE|GROUP|ORDER|LIMIT|ON|HAVING|JOIN|INNER|LEFT|OFFSET|\)|,))", rf"\1{v} AS {n}", s, flags=re.I))
         text = _outside_strings(text, lambda s, n=name, v=view: re.sub(rf"(\b(?:FROM|JOIN)\s+)`?{n}`?\b", rf"\1{v}", s, flags=re.I))
-    return spark.sql(text, args=params) if params else spark.sql(text)
+    try:  # the plan is analysed at once and holds the frames, so the names can go
+        return spark.sql(text, args=params) if params else spark.sql(text)
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
 
 
 def canonical(df: DataFrame) -> str:

@@ -1,11 +1,18 @@
-"""Parsing texts into blocks, and planning chunks: sequential per document, so Arrow-batched Python."""
+"""Parsing texts into blocks, and planning chunks: sequential per document, so Arrow-batched Python.
+
+Both are stated as data over the whole text instead of a walk with state.  Lines get a kind; runs of kinds are blocks;
+sections are a fold over the headings.  A chunk's end is looked up among the sorted offsets at which a chunk may end.
+"""
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +29,21 @@ class Block(NamedTuple):
     text: str
 
 
-#: Line patterns of Markdown in the order in which they are tried, and what HTML elements are.
-_LINES = [
-    ("heading", re.compile(r"^\s{0,3}#{1,6}\s+")),
-    ("list_item", re.compile(r"^\s*(?:[-*+]\s+|\d+[.)]\s+)")),
-    ("table_row", re.compile(r"^\s*\|.*\|\s*$")),
-    ("footnote", re.compile(r"^\s*\[\^.*\]:")),
-    ("caption", re.compile(r"!\[[^\]]*\]\([^)]+\)")),
-    ("citation", re.compile(r"\[[^\]]+\]\([^)]+\)")),
-]
+#: Line patterns of Markdown in the order in which they are tried, what HTML elements are, and the marks
+#: after which a chunk may end, the best first.
+_LINES = {
+    "heading": r"^\s{0,3}#{1,6}\s+",
+    "list_item": r"^\s*(?:[-*+]\s+|\d+[.)]\s+)",
+    "table_row": r"^\s*\|.*\|\s*$",
+    "footnote": r"^\s*\[\^.*\]:",
+    "caption": r"!\[[^\]]*\]\([^)]+\)",
+    "citation": r"\[[^\]]+\]\([^)]+\)",
+}
 _ELEMENTS = {"li": "list_item", "pre": "code", "code": "code", "table": "table", "tr": "table", "caption": "caption", "figcaption": "caption", "footer": "footnote", "blockquote": "citation"}
 _ELEMENT = re.compile(r"<(h[1-6]|p|li|pre|code|table|tr|caption|figcaption|blockquote|aside|footer)[^>]*>[\s\S]*?</\1\s*>", re.I)
+_MARKS = "\n.; "
+_LINE = re.compile(r"[^\n]*\n|[^\n]+")
+_KINDS = {k: re.compile(p) for k, p in _LINES.items()}
 
 
 def decode_html(s: str) -> str:
@@ -41,74 +52,54 @@ def decode_html(s: str) -> str:
     return re.sub("<[^>]*>", " ", s).strip()
 
 
-class _Sections:
-    """The path of headings above the current place."""
+def section_paths(headings: list[tuple[int, str]]) -> list[str]:
+    """For each block, given as (level, label) with level 0 for what is no heading, the path of headings it lies under."""
+
+    def under(path: dict[int, str], heading: tuple[int, str]) -> dict[int, str]:
+        level, label = heading
+        return {**{k: v for k, v in path.items() if k < level}, level: label} if level else path
 
-    def __init__(self):
-        self.stack: list[str] = []
+    paths = itertools.accumulate(headings, under, initial={})
+    return [" > ".join(v for _, v in sorted(p.items()) if v) for p in itertools.islice(paths, 1, None)]
 
-    def enter(self, level: int, label: str) -> None:
-        self.stack = [*self.stack[: level - 1], *[""] * (level - 1 - len(self.stack)), label]
 
-    def path(self) -> str:
-        return " > ".join(s for s in self.stack if s)
+def _line_kind(line: str) -> str:
+    return next((k for k, p in _KINDS.items() if p.search(line)), "paragraph")
 
 
 def parse_lines(text: str, markdown: bool) -> list[Block]:
-    """Paragraphs; in Markdown also headings, list items, table rows, footnotes, captions, citations and fenced code."""
-    out: list[Block] = []
-    sections = _Sections()
-    open_at: tuple[int, int] | None = None
-
-    def close() -> None:
-        nonlocal open_at
-        if open_at and text[slice(*open_at)].strip():
-            out.append(Block("paragraph", *open_at, sections.path(), 0, text[slice(*open_at)]))
-        open_at = None
-
-    at, fence = 0, None
-    for line in text.splitlines(keepends=True) if "\r" not in text else re.findall(r"[^\n]*\n|[^\n]+", text):
-        end = at + len(line)
-        bare = line.strip()
-        if fence is not None:
-            if bare.startswith("```"):
-                out.append(Block("code", fence, end, sections.path(), 0, text[fence:end]))
-                fence = None
-        elif markdown and bare.startswith("```"):
-            close()
-            fence = at
-        elif not bare:
-            close()
-        else:
-            kind = next((k for k, p in _LINES if p.search(line)), "paragraph") if markdown else "paragraph"
-            if kind == "paragraph":
-                open_at = (open_at[0] if open_at else at, end)
-            else:
-                close()
-                level = len(bare) - len(bare.lstrip("#")) if kind == "heading" else 0
-                if kind == "heading":
-                    sections.enter(level, bare[level:].strip())
-                out.append(Block(kind, at, end, sections.path(), level, line))
-        at = end
-    if fence is not None:  # a fence without an end holds its own line only; the rest is read as usual
-        line_end = text.find("\n", fence) + 1 or len(text)
-        out.append(Block("code", fence, line_end, sections.path(), 0, text[fence:line_end]))
-        out += [b._replace(start=b.start + line_end, end=b.end + line_end) for b in parse_lines(text[line_end:], markdown)]
-        return out
-    close()
-    return out
+    """Paragraphs; in Markdown also headings, list items, table rows, footnotes, captions, citations and fenced code.
+
+    A fence without an end holds its own line only; what follows it is read as a text of its own, without sections above.
+    """
+    lines = [m.span() for m in _LINE.finditer(text)]
+    bare = [text[a:b].strip() for a, b in lines]
+    fences = [k for k, line in enumerate(bare) if line.startswith("```")] if markdown else []
+    if len(fences) % 2:
+        fences.append(fences[-1])
+    code = {k: first for first, last in zip(fences[::2], fences[1::2]) for k in range(first, last + 1)}
+    # lines of one block share a number: a fence's first line, a paragraph's run, or the line itself
+    kinds = ["code" if k in code else "" if not line else _line_kind(text[slice(*lines[k])]) if markdown else "paragraph" for k, line in enumerate(bare)]
+    fresh = [kinds[k] != "paragraph" or k == 0 or kinds[k - 1] != "paragraph" for k in range(len(lines))]
+    starts = itertools.accumulate(range(len(lines)), lambda held, k: code.get(k, k if fresh[k] else held))
+    rows = []
+    for _, run in itertools.groupby((x for x in zip(starts, range(len(lines))) if kinds[x[1]]), key=lambda x: x[0]):
+        own = [k for _, k in run]
+        kind, a, b = kinds[own[0]], lines[own[0]][0], lines[own[-1]][1]
+        level = len(bare[own[0]]) - len(bare[own[0]].lstrip("#")) if kind == "heading" else 0
+        rows.append((kind, a, b, level, bare[own[0]][level:].strip() if level else "", own[0]))
+    open_fence = fences[-1] if len(fences) > 1 and fences[-1] == fences[-2] else len(lines)
+    paths = [p for part in (True, False) for p in section_paths([(r[3], r[4]) for r in rows if (r[5] <= open_fence) is part])]
+    return [Block(kind, a, b, path, level, text[a:b]) for (kind, a, b, level, _, _), path in zip(rows, paths)]
 
 
 def parse_html(text: str) -> list[Block]:
     """Block elements with their text; without any, the page's text as paragraphs."""
-    out, sections = [], _Sections()
-    for m in _ELEMENT.finditer(text):
-        tag, body = m[1].lower(), decode_html(m[0])
-        level = int(tag[1]) if re.fullmatch("h[1-6]", tag) else 0
-        if level:
-            sections.enter(level, body)
-        if body:
-            out.append(Block("heading" if level else _ELEMENTS.get(tag, "paragraph"), m.start(), m.end(), sections.path(), level, body))
+    found = [(m, m[1].lower(), decode_html(m[0])) for m in _ELEMENT.finditer(text)]
+    levels = [int(tag[1]) if tag[0] == "h" else 0 for _, tag, _ in found]
+    paths = section_paths(list(zip(levels, (body for *_, body in found))))
+    kinds = ["heading" if level else _ELEMENTS.get(tag, "paragraph") for level, (_, tag, _) in zip(levels, found)]
+    out = [Block(kind, *m.span(), path, level, body) for kind, level, path, (m, _, body) in zip(kinds, levels, paths, found) if body]
     return out or parse_lines(decode_html(text), False)
 
 
@@ -123,59 +114,65 @@ class Chunk(NamedTuple):
     parser: str
 
 
-def _boundary(text: str, start: int, desired: int, least: int) -> int:
-    """The last line, sentence, clause or word end up to ``desired``, at least ``least`` in."""
-    if desired >= len(text):
-        return len(text)
-    for mark in "\n.; ":
-        at = text.rfind(mark, 0, desired + 1)
-        if at + 1 >= start + least and at >= 0:
-            return at + 1
-    return desired
+class Ends:
+    """Where chunks of a text may end: for each mark the ascending offsets of its occurrences."""
+
+    def __init__(self, text: str, marks: str = _MARKS):
+        self.size = len(text)
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.at = [np.flatnonzero(letters == ord(m)).tolist() for m in marks]
+
+    def last(self, low: int, high: int) -> int | None:
+        """The last occurrence in [low, high] of the first mark that has one."""
+        for at in self.at:
+            k = bisect.bisect_right(at, high) - 1
+            if k >= 0 and at[k] >= low:
+                return at[k]
+        return None
+
+
+def windows(start: int, end: int, size: int, overlap: int, cut: Callable[[int, int], int]) -> Iterator[tuple[int, int]]:
+    """Overlapping stretches from ``start`` to ``end``; ``cut(a, b)`` moves the end of one that would be [a, b)."""
+    a, b = start, None
+    while b is None or b < end:
+        b = min(end, cut(a, min(end, a + size)))
+        yield a, b
+        a = b if b <= overlap else max(b - overlap, a + 1)
 
 
 def fast_chunks(text: str, target: int = 1600, overlap: int = 200) -> Iterator[Chunk]:
     """Windows of ``target`` characters that end at the last space over 80 characters in, overlapping."""
-    start = 0
-    while start < len(text):
-        end = min(len(text), start + target)
-        if end < len(text):
-            space = text.rfind(" ", 0, end + 1)
-            end = space if space > start + 80 else end
-        yield Chunk(start, end, "", "fast-v1")
-        if end == len(text):
-            return
-        start = max(end - overlap, start + 1) if end > overlap else end
+    ends = Ends(text, " ")
+
+    def cut(a: int, b: int) -> int:
+        space = ends.last(a + 81, b) if b < len(text) else None
+        return b if space is None else space
+
+    return (Chunk(a, b, "", "fast-v1") for a, b in windows(0, len(text), target, overlap, cut) if b > a)
 
 
 def block_chunks(text: str, blocks: list[Block], mode: str = "structured", target: int = 1600, most: int = 2400, least: int = 160, overlap: int = 200) -> list[Chunk]:
     """Blocks gathered up to ``target``: a heading begins a chunk, tables and code end one, larger blocks are split, a small tail is joined."""
+    ends = Ends(text)
+
+    def cut(a: int, b: int) -> int:
+        mark = ends.last(a + least - 1, b) if b < len(text) else None
+        return b if mark is None else mark + 1
+
+    large = [b.end - b.start > most for b in blocks]
+
+    def group(head: int, k: int) -> int:
+        """The first block of the chunk that block k falls into, given that of the block before."""
+        own, prev = blocks[k], blocks[k - 1]
+        full = prev.end - blocks[head].start >= target or prev.type in ("table", "code") or large[k - 1]
+        return k if full or large[k] or own.type == "heading" or own.end - blocks[head].start > target else head
+
+    heads = list(itertools.accumulate(range(1, len(blocks)), group, initial=0)) if blocks else []
     out: list[Chunk] = []
-    held: list | None = None
-
-    def close() -> None:
-        nonlocal held
-        if held:
-            out.append(Chunk(held[0], held[1], held[2], f"{mode}-adaptive-v1"))
-        held = None
-
-    for b in blocks:
-        if held and (b.type == "heading" or b.end - held[0] > target):
-            close()
-        if b.end - b.start > most:
-            close()
-            start = b.start
-            while True:
-                end = min(_boundary(text, start, min(b.end, start + most), least), b.end)
-                out.append(Chunk(start, end, b.section, f"{mode}-dense-v1"))
-                if end >= b.end:
-                    break
-                start = max(end - overlap, start + 1) if end > overlap else end
-            continue
-        held = [held[0] if held else b.start, b.end, held[2] if held else b.section]
-        if held[1] - held[0] >= target or b.type in ("table", "code"):
-            close()
-    close()
+    for head, members in itertools.groupby(range(len(blocks)), key=heads.__getitem__):
+        first, last = blocks[head], blocks[max(members)]
+        spans = windows(first.start, first.end, most, overlap, cut) if large[head] else [(first.start, last.end)]
+        out += [Chunk(a, b, first.section, f"{mode}-{'dense' if large[head] else 'adaptive'}-v1") for a, b in spans]
     if len(out) > 1 and out[-1].end - out[-1].start < least:
         out[-2:] = [out[-2]._replace(end=out[-1].end)]
     return out

@@ -17,7 +17,7 @@ def source(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, fi
 
 
 def append_stream(stream: DataFrame, store: Store, dataset: str, checkpoint: str, name: str = "append", once: bool = True, every: str = "10 seconds") -> StreamingQuery:
-    """Each micro-batch is appended once: its epoch is the batch id in the store's ledger."""
+    """Each micro-batch is appended once: its epoch is the batch id that its rows carry."""
     def write(df: DataFrame, epoch: int) -> None:
         store.append(dataset, df, f"{name}-{epoch}")
 
