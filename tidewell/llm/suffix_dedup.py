@@ -353,7 +353,9 @@ def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 40, shard_byt
         texts = rows.select("doc", "text")
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(12, total * 2 // (length - anchor) // bucket_anchors)
-    met = texts.mapInArrow(_find_anchors(length, anchor, buckets), _ANCHORS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "doc long, pos binary")
+    met = texts.mapInArrow(_find_anchors(length, anchor, buckets), _ANCHORS)
+    # what repeats within a task only passes through: such rows are dealt by document
+    met = met.repartition(int(buckets), "bucket", F.when(F.col("bucket") < 0, F.col("doc"))).sortWithinPartitions("bucket").mapInArrow(_meet, "doc long, pos binary")
     met = saved(met, "anchors")
     pieces = met.agg(F.sum(F.length("pos"))).first()[0] or 0
     shards = max(12, pieces // 4 * (2 * length - anchor) // shard_bytes)
@@ -361,7 +363,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 40, shard_byt
     some = maybe_in(texts, "doc", met.select(F.col("doc").alias("d")), "d").where("_maybe")
     cut = some.join(repeats, F.col("doc") == F.col("d")).select("doc", "text", "lists").mapInArrow(_cut_pieces(length, anchor, shards), _PIECES)
     # rows of marks only pass through: they are dealt by document
-    dealt = cut.repartition("shard", F.when(F.col("shard") < 0, F.col("doc"))).sortWithinPartitions("shard")
+    dealt = cut.repartition(int(shards), "shard", F.when(F.col("shard") < 0, F.col("doc"))).sortWithinPartitions("shard")
     marks = saved(dealt.mapInArrow(_sort_shards(length, limits), "doc long, marks binary"), "marks")
     marks = marks.groupBy(F.col("doc").alias("d")).agg(F.collect_list("marks").alias("marks"))
     flagged = maybe_in(rows, "doc", marks, "d")  # texts without any mark are finished where they are read
