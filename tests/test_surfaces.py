@@ -315,7 +315,7 @@ def test_scalars(spark):
 def test_store_after_sql(spark):
     """SQL over frames leaves no views that a store would list."""
     before = {t.name for t in spark.catalog.listTables()}
-    assert sqlfront.run(spark, "SELECT count(*) AS n FROM t", {"t": spark.range(3)}).first().n == 3
+    assert Q.run(spark, "SELECT count(*) AS n FROM t", {"t": spark.range(3)}).first().n == 3
     assert {t.name for t in spark.catalog.listTables()} == before
     spark.range(1).createOrReplaceTempView("left_behind")
     store = Store(spark, "tests_views")
