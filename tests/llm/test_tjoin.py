@@ -125,3 +125,18 @@ def test_shingler():
     s = Shingler(3)
     assert len(s("a b c d")) == 2 and len(s("a b")) == 1 and len(s("a")) == 1 and len(s(" ")) == 0
     assert (s("A b C") == s("a\tB c")).all() and not np.array_equal(s("Ä b c"), s("ä b c"))
+
+
+@pytest.mark.parametrize("n, sim, seed", [(3, (90, 100), 3), (2, (60, 100), 4)])
+def test_large_groups(spark, monkeypatch, n, sim, seed):
+    """Blocks of three sets without much in common: what they leave apart is found by shared shingles."""
+    from tidewell.llm import tjoin
+
+    asked = []
+    plain = tjoin._search_open
+    monkeypatch.setattr(tjoin, "_ANCHORS", 1)
+    monkeypatch.setattr(tjoin, "_search_open", lambda *a: (asked.append(plain(*a)), asked[-1])[1])
+    rows = data(seed)
+    got = jaccard_join(spark.createDataFrame(rows, SCHEMA).repartition(3), n, sim, block=3).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, n, *sim)
+    assert len(asked) == 1 and asked[0].count() > 0

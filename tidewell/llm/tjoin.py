@@ -38,6 +38,7 @@ _ANCHORS = 32  # sets that the blocks of a large group have in common
 _SIZE, _EQUAL, _NEAR = 0, 1, 2  # kinds of rows: size of a set, equal sets, sets to compare
 _COUNTERS = 22, 25  # powers of two: the sketch has from 4 to 32 megabytes
 _CHUNK = 1 << 16
+_BITS = 1024
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -391,9 +392,23 @@ def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90,
     many = many.withColumn("parts", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / block_shingles)).cast("int"))
     many = saved(many, "candidates")
     members = saved(join_hot(members, "c", many, "_c", "n").select("id", "c", "w", "n", "parts"), "members")
-    some = maybe_in(base, "doc_id", members, "id").where("_maybe")  # other texts stay out of the shuffle
-    texts = some.join(members, F.col("doc_id") == F.col("id")).select("id", "c", "w", "n", "parts", "text")
-    large = bool(many.where("parts > 1").limit(1).count())
+    at = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    anchor = F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("n") / _ANCHORS)) == 0  # members of every block
+    placed = members.withColumn("i", F.explode(F.when(anchor, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(at))))
+    cells = _sets(base, placed.select("id", "c", "i", F.lit(0).alias("j"), F.col("id").alias("label")), n)
+    links = saved(_search(cells, num, den).unionByName(equal), "links")
+    comps = components(links)
+    large = members.where("parts > 1")
+    if large.limit(1).count():
+        more = _search_open(base, large, comps, n, num, den, ranks, block, block_shingles)
+        if more is not None:
+            comps = components(links.unionByName(more))
+    out = sizes.join(comps, sizes["doc_id"] == comps["id"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _sets(base: DataFrame, placed: DataFrame, n: int) -> DataFrame:
+    """``placed`` (id, c, i, j, label: where sets go) with the sets themselves in ``data``."""
 
     @tidy
     def sets(batches):
@@ -402,23 +417,11 @@ def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90,
             for at in range(0, len(batch), 256):
                 piece = batch.slice(at, 256)
                 data = [shingle(t.as_py()).tobytes() for t in piece.column(5)]
-                yield pa.RecordBatch.from_arrays([*piece.columns[:5], pa.array(data, pa.binary())], ["id", "c", "w", "n", "parts", "data"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:5], pa.array(data, pa.binary())], ["c", "i", "j", "id", "label", "data"])
 
-    packed_sets = texts.mapInArrow(sets, "id long, c long, w long, n long, parts int, data binary")
-    if large:
-        packed_sets = saved(packed_sets, "sets")
-    at = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    anchor = F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("n") / _ANCHORS)) == 0  # members of every block
-    cells = packed_sets.withColumn("i", F.explode(F.when(anchor, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(at))))
-    cells = cells.select("c", "i", F.lit(0).alias("j"), "id", F.col("id").alias("label"), "data")
-    links = saved(_search(cells, num, den).unionByName(equal), "links")
-    comps = components(links)
-    if large:
-        more = _search_open(packed_sets, comps, num, den, ranks, block, block_shingles)
-        if more is not None:
-            comps = components(links.unionByName(more))
-    out = sizes.join(comps, sizes["doc_id"] == comps["id"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    some = maybe_in(base, "doc_id", placed, "id").where("_maybe")  # other texts stay out of the shuffle
+    texts = some.join(placed, F.col("doc_id") == F.col("id")).select("c", "i", "j", "id", "label", "text")
+    return texts.mapInArrow(sets, "c long, i int, j int, id long, label long, data binary")
 
 
 def _search(cells: DataFrame, num: int, den: int) -> DataFrame:
@@ -455,48 +458,95 @@ def _search(cells: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long")
 
 
-def _search_open(packed_sets: DataFrame, comps: DataFrame, num: int, den: int, ranks, block: int, block_shingles: int) -> DataFrame | None:
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """_BITS bits, each the parity of the shingles that hash to it: two sets differ in no fewer shingles than bits."""
+    return np.packbits((np.bincount((mix64(s) % np.uint64(_BITS)).astype(np.int64), minlength=_BITS) & 1).astype(np.uint8))
+
+
+def _search_open(base: DataFrame, large: DataFrame, comps: DataFrame, n: int, num: int, den: int, ranks, block: int, block_shingles: int) -> DataFrame | None:
     """Links between different components within large groups of candidates, or None where no such group is left.
 
     Linked sets share a key (a shingle of their prefixes).  Of the sets with one key those outside the commonest component
-    (strays) meet all others, block by block; a key whose sets all lie in one component is settled.
+    (strays) meet all others, block by block, but as bitmaps only; a key whose sets all lie in one component is settled.
+    Sets whose bitmaps allow a link are searched.
     """
-    large = packed_sets.where("parts > 1")
     labels = comps.select(F.col("id").alias("_id"), F.col("component_id").alias("label"))
     labelled = large.select("id", "c", "w").join(labels, F.col("id") == F.col("_id"), "left").select("id", "c", "w", F.coalesce("label", "id").alias("label"))
-    labelled = saved(labelled.distinct(), "labelled")
+    labelled = saved(labelled, "labelled")
     apart = labelled.groupBy(F.col("c").alias("_c")).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     apart = saved(apart.where("low <> high").select("_c", "n"), "apart")
     if not apart.limit(1).count():
         return None
-    left = saved(join_hot(labelled, "c", apart, "_c", "n").select("id", "w", "label"), "left")
+    left = saved(join_hot(labelled, "c", apart, "_c", "n").select(F.col("id").alias("_id"), "w", "label"), "left")
 
     @tidy
-    def keys(batches):
-        divide = Similarity(num, den, ranks.value)
+    def draw(batches):
+        """Keys (with a null bitmap) and bitmaps (with a null key) of documents."""
+        divide, shingle = Similarity(num, den, ranks.value), Shingler(n)
+        types = [("id", pa.int64()), ("key", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())]
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                ids, out = [], []
-                for doc, data in zip(batch.column(0)[at : at + 256].to_pylist(), batch.column(1)[at : at + 256]):
-                    s = np.frombuffer(data.as_py(), np.uint64)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if len(s := shingle(text.as_py())):
                     k = divide.keys(s)
-                    ids.append(np.full(len(k), doc, np.int64))
-                    out.append(k)
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out).view(np.int64))], ["id", "key"])
-
-    data = large.select("id", "data").join(left.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi")
-    keyed = data.mapInArrow(keys, "id long, key long").join(left.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).select("id", "key", "w", "label")
-    keyed = saved(keyed, "keys")
-    per = keyed.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
-    per = per.groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("n"), F.sum("w").alias("all_w"), F.max(F.struct("n", "w", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    number = lambda n, w: F.greatest(F.ceil(n / block), F.ceil(w / block_shingles), F.lit(1)).cast("int")
-    per = per.select("_key", "n", F.col("top.label").alias("major"), number(F.col("n"), F.col("all_w")).alias("parts"), number(F.col("n") - F.col("top.n"), F.col("all_w") - F.col("top.w")).alias("strays"))
-    placed = join_hot(keyed, "key", saved(per, "open"), "_key", "n")
+                    keys = [None, *k.view(np.int64).tolist()]
+                    columns = [doc] * len(keys), keys, [len(s)] + [None] * len(k), [_bitmap(s).tobytes()] + [None] * len(k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types)], [c for c, _ in types])
+
+    some = maybe_in(base, "doc_id", left, "_id").where("_maybe").select("doc_id", "text")
+    drawn = saved(some.mapInArrow(draw, "id long, key long, size long, bits binary"), "keys")
+    keyed = drawn.where("key is not null").join(left, F.col("id") == F.col("_id")).select("id", "key", "label")
+    per = keyed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    per = per.groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    number = lambda m: F.ceil(m / block).cast("int")
+    per = saved(per.select("_key", "n", F.col("top.label").alias("major"), number(F.col("n")).alias("parts"), number(F.col("n") - F.col("top.n")).alias("strays")), "open")
+    placed = join_hot(keyed, "key", per, "_key", "n")
     hashed = lambda of, m: F.pmod(F.xxhash64("id", F.lit(of)), F.col(m)).cast("int")
     everywhere = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda i: F.struct(i.alias("i"), hashed(1, "parts").alias("j")))
     stray = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(hashed(2, "strays").alias("i"), j.alias("j")))
     cells = placed.withColumn("at", F.explode(F.array_distinct(F.when(F.col("label") == F.col("major"), everywhere).otherwise(F.concat(everywhere, stray)))))
-    cells = cells.select(F.col("key").alias("c"), "at.i", "at.j", F.col("id").alias("_id"), "label")
-    cells = large.select("id", "data").join(cells, F.col("id") == F.col("_id")).select("c", "i", "j", "id", "label", "data")
-    return saved(_search(cells, num, den), "links")
+    bitmaps = drawn.where("key is null").select(F.col("id").alias("_id"), "size", "bits")
+    cells = cells.select("key", "at.i", "at.j", "id", "label").join(bitmaps, F.col("id") == F.col("_id")).select("key", "i", "j", "id", "label", "size", "bits")
+
+    @tidy
+    def compare(batches):
+        held, held_at = [], None
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            ids, label, size = (np.array(c, np.int64) for c in zip(*(r[:3] for r in held)))
+            bits = np.frombuffer(b"".join(r[3] for r in held), np.uint64).reshape(len(held), -1)
+            for i in range(len(ids) - 1):
+                j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (size[i + 1 :] * den >= size[i] * num) & (size[i] * den >= size[i + 1 :] * num))
+                if len(j):
+                    differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                    j = j[differ * (num + den) <= (size[j] + size[i]) * (den - num)]
+                    found.append((ids[j], np.full(len(j), ids[i])))
+
+        def rows():
+            a, b = forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, i, j) != held_at:
+                    if len(held) > 1:
+                        flush()
+                        if sum(len(x) for x, _ in found) > _EDGES:
+                            yield rows()
+                    held, held_at = [], (key, i, j)
+                held.append(row)
+        if len(held) > 1:
+            flush()
+        if found:
+            yield rows()
+
+    near = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
+    groups = components(saved(near, "allowed"))
+    groups = saved(groups.join(left, F.col("id") == F.col("_id")).select("id", "component_id", "w", "label"), "groups")
+    many = groups.groupBy(F.col("component_id").alias("_c")).agg(F.count("*").alias("n"), F.sum("w").alias("shingles"))
+    many = saved(many.select("_c", "n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("parts")), "candidates")
+    placed = join_hot(groups, "component_id", many, "_c", "n").withColumn("side", hashed(3, "parts"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("id", F.col("component_id").alias("c"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "label")
+    return saved(_search(_sets(base, saved(placed, "placed"), n), num, den), "links")
