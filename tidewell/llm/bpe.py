@@ -13,6 +13,7 @@ import json
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,6 +161,19 @@ OUTPUTS = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa
 _DDL = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
 
+_PIECE = 1 << 20
+
+
+def _small(batch: pa.RecordBatch):
+    """Slices of a batch of about _PIECE characters of text (one row at least): ids and tokens take many times a text's bytes."""
+    ends = pa.compute.cumulative_sum(pa.compute.utf8_length(batch.column("text")).cast(pa.int64())).to_pylist()
+    at, base = 0, 0
+    for k, end in enumerate(ends):
+        if end - base >= _PIECE or k == len(ends) - 1:
+            yield batch.slice(at, k + 1 - at)
+            at, base = k + 1, end
+
+
 def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Encodes whole texts with the vocabulary at path ``tokenizer`` and decodes the ids again.
 
@@ -188,7 +202,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[
             "decoded_sha256": lambda p: digest(" ".join([x[3] for x in p])),
         }
         wanted = [makers[o] for o in outputs]
-        for batch in batches:
+        for batch in (part for whole in batches for part in _small(whole)):
             rows: list[list] = [[] for _ in outputs]
             for value in batch.column("text"):
                 p = bpe.pieces(value.as_py())
