@@ -76,3 +76,18 @@ def test_pushed_filters_are_used():
 
 def test_records_ignore_clashing_columns(spark):
     assert warc_records(spark.createDataFrame(ROWS, SCHEMA)).columns[1] == "record_type"
+
+
+def test_two_appends(spark, tmp_path):
+    """A second append keeps the records of the first; overwriting does not."""
+    from tidewell.llm.warc import register, warc_records
+
+    register(spark)
+    path = str(tmp_path / "archive")
+    write = lambda rows, mode: warc_records(spark.createDataFrame(rows, "page_id long, url string, html string")).write.format("warc").mode(mode).save(path)
+    count = lambda: spark.read.format("warc").load(path).count()
+    write([(1, "a", "x"), (2, "b", "y")], "append")
+    write([(3, "c", "z")], "append")
+    assert count() == 3
+    write([(4, "d", None)], "overwrite")
+    assert count() == 1

@@ -66,14 +66,24 @@ def _one_line(s) -> str:
     return str(s).replace("\r", " ").replace("\n", " ")
 
 
+def _manifest(store, root: str) -> list[dict] | None:
+    """The folder's committed files, or None where it has no manifest."""
+    from pyarrow import fs
+
+    if store.get_file_info(f"{root}/{_MANIFEST}").type != fs.FileType.File:
+        return None
+    with store.open_input_stream(f"{root}/{_MANIFEST}", compression=None) as f:
+        return json.loads(f.read())
+
+
 class _Committed(WriterCommitMessage):
     def __init__(self, name: str, offsets: list[int], size: int, records: int):
         self.name, self.offsets, self.size, self.records = name, offsets, size, records
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = _store(self.path)
@@ -103,6 +113,8 @@ class WarcWriter(DataSourceArrowWriter):
         files = [{"name": m.name, "offsets": m.offsets, "size": m.size, "records": m.records} for m in messages if m]
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
+        if not self.overwrite:  # earlier archives of the folder stay; jobs that append to it come one after another
+            files = (_manifest(store, root) or []) + files
         with store.open_output_stream(f"{root}/{_MANIFEST}", compression=None) as f:
             f.write(json.dumps(files).encode())
 
@@ -261,9 +273,7 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, root = _store(self.path)
-        if store.get_file_info(f"{root}/{_MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{root}/{_MANIFEST}", compression=None) as f:
-                files = json.loads(f.read())
+        if (files := _manifest(store, root)) is not None:
             return [_Range(m["name"], a, b) for m in files for a, b in zip(m["offsets"], [*m["offsets"][1:], m["size"]]) if m["records"]] or [_Range("", 0, 0)]
         info = store.get_file_info(root)
         if info.type == fs.FileType.File:
@@ -324,7 +334,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
