@@ -135,6 +135,10 @@ class WordBpe:
         known = self._chunks
         return [p for c in chunks if (p := known.get(c) or self._chunk(c))[1]]
 
+    def forget(self) -> None:
+        """Drops the chunks encoded so far, which a worker would keep after its task."""
+        self._chunks = {}
+
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pieces(text) for i in p[0]]
 
@@ -194,6 +198,12 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[
     @tidy
     def run(batches):
         bpe = load(spec.value)
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            bpe.forget()
+
+    def encoded(bpe, batches):
         makers = {
             "ids": lambda p: [i for x in p for i in x[0]],
             "n_tokens": lambda p: sum([x[1] for x in p]),

@@ -54,13 +54,14 @@ def give_back() -> None:
 
 
 def tidy(run):
-    """``run`` for mapInArrow, after which the worker process gives freed memory back: workers outlive their tasks."""
+    """``run`` for mapInArrow, after which the worker process gives memory back (tables of powers too): workers outlive their tasks."""
 
     @functools.wraps(run)
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
+            _POWERS.clear()
             give_back()
 
     return wrapped
