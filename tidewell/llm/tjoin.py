@@ -515,8 +515,11 @@ def _search_open(base: DataFrame, large: DataFrame, comps: DataFrame, n: int, nu
         def flush():
             ids, label, size = (np.array(c, np.int64) for c in zip(*(r[:3] for r in held)))
             bits = np.frombuffer(b"".join(r[3] for r in held), np.uint64).reshape(len(held), -1)
-            for i in range(len(ids) - 1):
-                j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (size[i + 1 :] * den >= size[i] * num) & (size[i] * den >= size[i + 1 :] * num))
+            by = np.argsort(size, kind="stable")
+            ids, label, size, bits = ids[by], label[by], size[by], bits[by]
+            ends = np.searchsorted(size * num, size * den, side="right")  # larger sets before there are not too large
+            for i in np.flatnonzero(ends > np.arange(1, len(ids) + 1)).tolist():
+                j = i + 1 + np.flatnonzero(label[i + 1 : ends[i]] != label[i])
                 if len(j):
                     differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
                     j = j[differ * (num + den) <= (size[j] + size[i]) * (den - num)]
