@@ -466,9 +466,11 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
 def _search_open(base: DataFrame, large: DataFrame, comps: DataFrame, n: int, num: int, den: int, ranks, block: int, block_shingles: int) -> DataFrame | None:
     """Links between different components within large groups of candidates, or None where no such group is left.
 
-    Linked sets share a key (a shingle of their prefixes).  Of the sets with one key those outside the commonest component
-    (strays) meet all others, block by block, but as bitmaps only; a key whose sets all lie in one component is settled.
-    Sets whose bitmaps allow a link are searched.
+    Linked sets share a key (a shingle of their prefixes).  Two sets with a key need not meet there if they lie in one
+    component, or if the same key comes just before it in both prefixes: they share that one too, and meet at the first for
+    which this is not so.  So passages that many sets begin with cost one meeting, not one for each shingle.  Of the sets
+    with one key those outside the commonest component, or without the commonest key before it, (strays) meet all others,
+    each pair once, block by block, but as bitmaps only.  Sets whose bitmaps allow a link are searched.
     """
     labels = comps.select(F.col("id").alias("_id"), F.col("component_id").alias("label"))
     labelled = large.select("id", "c", "w").join(labels, F.col("id") == F.col("_id"), "left").select("id", "c", "w", F.coalesce("label", "id").alias("label"))
@@ -481,31 +483,35 @@ def _search_open(base: DataFrame, large: DataFrame, comps: DataFrame, n: int, nu
 
     @tidy
     def draw(batches):
-        """Keys (with a null bitmap) and bitmaps (with a null key) of documents."""
+        """Keys, with those before them, and bitmaps (with a null key) of documents."""
         divide, shingle = Similarity(num, den, ranks.value), Shingler(n)
-        types = [("id", pa.int64()), ("key", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())]
+        types = [("id", pa.int64()), ("key", pa.int64()), ("prev", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())]
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if len(s := shingle(text.as_py())):
                     k = divide.keys(s)
                     keys = [None, *k.view(np.int64).tolist()]
-                    columns = [doc] * len(keys), keys, [len(s)] + [None] * len(k), [_bitmap(s).tobytes()] + [None] * len(k)
+                    columns = [doc] * len(keys), keys, [None, *keys[:-1]], [len(s)] + [None] * len(k), [_bitmap(s).tobytes()] + [None] * len(k)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types)], [c for c, _ in types])
 
     some = maybe_in(base, "doc_id", left, "_id").where("_maybe").select("doc_id", "text")
-    drawn = saved(some.mapInArrow(draw, "id long, key long, size long, bits binary"), "keys")
-    keyed = drawn.where("key is not null").join(left, F.col("id") == F.col("_id")).select("id", "key", "label")
-    per = keyed.groupBy("key", "label").agg(F.count("*").alias("n"))
-    per = per.groupBy(F.col("key").alias("_key")).agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    drawn = saved(some.mapInArrow(draw, "id long, key long, prev long, size long, bits binary"), "keys")
+    keyed = drawn.where("key is not null").join(left, F.col("id") == F.col("_id")).select("id", "key", "prev", "label")
+    both = F.array(F.struct(F.lit(0).alias("by"), F.col("label").alias("of")), F.struct(F.lit(1).alias("by"), F.col("prev").alias("of")))
+    per = keyed.select("key", F.explode(both).alias("class")).groupBy("key", "class.by", "class.of").agg(F.count("*").alias("n"))
+    labels = F.sum(F.when(F.col("by") == 0, 1).otherwise(0))
+    per = per.groupBy(F.col("key").alias("_key")).agg((F.sum("n") / 2).cast("long").alias("n"), F.max(F.when(F.col("of").isNotNull(), F.struct("n", "by", "of"))).alias("top"), labels.alias("labels"))
     number = lambda m: F.ceil(m / block).cast("int")
-    per = saved(per.select("_key", "n", F.col("top.label").alias("major"), number(F.col("n")).alias("parts"), number(F.col("n") - F.col("top.n")).alias("strays")), "open")
-    placed = join_hot(keyed, "key", per, "_key", "n")
+    per = per.where("labels > 1 and top.n < n")  # else no two sets have to meet here
+    per = saved(per.select("_key", "n", "top.by", F.col("top.of").alias("major"), number(F.col("n")).alias("parts"), number(F.col("n") - F.col("top.n")).alias("strays")), "open")
+    apart = ~F.coalesce(F.when(F.col("by") == 0, F.col("label")).otherwise(F.col("prev")) == F.col("major"), F.lit(False))
+    placed = join_hot(keyed, "key", per, "_key", "n").withColumn("stray", apart)
     hashed = lambda of, m: F.pmod(F.xxhash64("id", F.lit(of)), F.col(m)).cast("int")
-    everywhere = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda i: F.struct(i.alias("i"), hashed(1, "parts").alias("j")))
-    stray = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(hashed(2, "strays").alias("i"), j.alias("j")))
-    cells = placed.withColumn("at", F.explode(F.array_distinct(F.when(F.col("label") == F.col("major"), everywhere).otherwise(F.concat(everywhere, stray)))))
+    right = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda i: F.struct(i.alias("i"), hashed(1, "parts").alias("j"), F.lit(False).alias("asks")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(hashed(2, "strays").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    cells = placed.withColumn("at", F.explode(F.when(F.col("stray"), F.concat(right, asks)).otherwise(right)))
     bitmaps = drawn.where("key is null").select(F.col("id").alias("_id"), "size", "bits")
-    cells = cells.select("key", "at.i", "at.j", "id", "label").join(bitmaps, F.col("id") == F.col("_id")).select("key", "i", "j", "id", "label", "size", "bits")
+    cells = cells.select("key", "at.i", "at.j", "at.asks", "stray", "id", "label", "prev").join(bitmaps, F.col("id") == F.col("_id")).drop("_id")
 
     @tidy
     def compare(batches):
@@ -513,17 +519,28 @@ def _search_open(base: DataFrame, large: DataFrame, comps: DataFrame, n: int, nu
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
-            ids, label, size = (np.array(c, np.int64) for c in zip(*(r[:3] for r in held)))
-            bits = np.frombuffer(b"".join(r[3] for r in held), np.uint64).reshape(len(held), -1)
-            by = np.argsort(size, kind="stable")
-            ids, label, size, bits = ids[by], label[by], size[by], bits[by]
-            ends = np.searchsorted(size * num, size * den, side="right")  # larger sets before there are not too large
-            for i in np.flatnonzero(ends > np.arange(1, len(ids) + 1)).tolist():
-                j = i + 1 + np.flatnonzero(label[i + 1 : ends[i]] != label[i])
+            held.sort(key=lambda r: r[5])
+            asks = np.array([r[0] for r in held])
+            if not asks.any():
+                return
+            first = np.array([r[4] is None for r in held])  # nothing comes before the key
+            ids, label, prev, size = (np.array([r[k] or 0 for r in held], np.int64) for k in (2, 3, 4, 5))
+            stray = np.array([r[1] for r in held])
+            bits = np.frombuffer(b"".join(r[6] for r in held), np.uint64).reshape(len(held), -1)
+            to = np.flatnonzero(~asks)
+            to_ids, to_label, to_prev, to_first, to_stray, to_size, to_bits = (x[to] for x in (ids, label, prev, first, stray, size, bits))
+            low = np.searchsorted(to_size * den, size * num, side="left")
+            high = np.searchsorted(to_size * num, size * den, side="right")
+            for i in np.flatnonzero(asks & (low < high)).tolist():
+                at = slice(low[i], high[i])
+                meet = (to_label[at] != label[i]) & (~to_stray[at] | (to_ids[at] > ids[i]))
+                if not first[i]:
+                    meet &= to_first[at] | (to_prev[at] != prev[i])
+                j = low[i] + np.flatnonzero(meet)
                 if len(j):
-                    differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                    j = j[differ * (num + den) <= (size[j] + size[i]) * (den - num)]
-                    found.append((ids[j], np.full(len(j), ids[i])))
+                    differ = np.bitwise_count(to_bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                    j = j[differ * (num + den) <= (to_size[j] + size[i]) * (den - num)]
+                    found.append((to_ids[j], np.full(len(j), ids[i])))
 
         def rows():
             a, b = forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
