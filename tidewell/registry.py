@@ -377,7 +377,7 @@ def a22_conflicts(spark, sf):
 
 
 _EVAL = """WITH h AS (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
-j AS (SELECT DISTINCT source AS query_id, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND doc_id % 3 = 0),
+j AS (SELECT DISTINCT source AS query_id, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
 t AS (SELECT query_id, count(*) AS n FROM j GROUP BY 1),
 g AS (SELECT query_id, count(*) AS hit, min(rank) AS first, sum(1 / log2(rank + 1.0)) AS dcg FROM j JOIN h USING (query_id, doc_id) WHERE rank <= 20 GROUP BY 1),
 p AS (SELECT coalesce(hit, 0) / n AS recall, coalesce(1 / first, 0) AS rr, coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 20) + 1), lambda i: 1 / log2(i + 1.0))) AS ndcg FROM t LEFT JOIN g USING (query_id))
@@ -388,7 +388,7 @@ SELECT count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(rr), 6) A
 def a23_retrieval_eval(spark, sf):
     d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     hits = d.select(F.col("source").alias("query_id"), "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")).alias("rank"))
-    judged = d.join(labels.where("quality = 1 and doc_id % 3 = 0"), "doc_id").select(F.col("source").alias("query_id"), "doc_id")
+    judged = d.join(labels.where("quality = 1"), "doc_id").select(F.col("source").alias("query_id"), "doc_id")
     e = R.evaluate(hits, judged, 20)
     return e.select("queries", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
@@ -682,12 +682,12 @@ def v05_ivf_auto(spark, sf):
 
 
 @query(f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, e.vec_id, max(-list_cosine_distance(e.v, q.v)) AS score FROM e JOIN e q ON q.vec_id < 5 AND (e.label = q.label OR e.label = q.label + 1) GROUP BY 1, 2),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, max(-list_cosine_distance(e.v, q.v)) AS score FROM e JOIN e q ON q.vec_id % 20 = 0 AND (e.label = q.label OR e.label = q.label + 1) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def v08_scoped_search(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.array("label", F.col("label") + 1).alias("scopes"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.array("label", F.col("label") + 1).alias("scopes"))
     return X.scoped_search(e, q, 5, "label", "vec_id").withColumn("score", F.round("score", 6))
 
 
@@ -822,14 +822,14 @@ def r15_mode_comparison(spark, sf):
     d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     mode = F.when(F.col("source").like("%1%"), "structured").otherwise("fast").alias("mode")
     hits = d.select(F.col("source").alias("query_id"), "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")).alias("rank"))
-    judged = d.join(labels.where("quality = 1 and doc_id % 3 = 0"), "doc_id").select(F.col("source").alias("query_id"), "doc_id", mode)
+    judged = d.join(labels.where("quality = 1"), "doc_id").select(F.col("source").alias("query_id"), "doc_id", mode)
     e = R.retained_modes(R.evaluate(hits, judged, 20, by="mode"))
     return e.select("mode", "queries", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
 # -- graph ----------------------------------------------------------------------------------------------------------
 
-_G = """WITH c AS (SELECT conv_id || '/' || turn AS node, conv_id || '/root' AS root, conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
+_G = """WITH c AS (SELECT conv_id || '/' || turn AS node, conv_id || '/root' AS root, conv_id, turn, role, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
 e AS (SELECT node AS src, root AS dst, 'parent' AS type, 217 AS weight FROM c UNION ALL SELECT root, node, 'child', 217 FROM c
 UNION ALL SELECT conv_id || '/' || p, node, 'next', 179 FROM c WHERE p IS NOT NULL UNION ALL SELECT node, conv_id || '/' || p, 'previous', 179 FROM c WHERE p IS NOT NULL)"""
 
@@ -843,7 +843,7 @@ def g01_graph_edges(spark, sf):
     return _edges(spark, sf)
 
 
-@query(_G + """, r AS (SELECT conv_id AS query_id, node, 1.0 / (1 + turn) AS score, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM c WHERE turn % 3 = 1),
+@query(_G + """, r AS (SELECT conv_id AS query_id, node, 1.0 / (1 + turn) AS score, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM c WHERE role = 'user'),
 k AS (SELECT * FROM (SELECT src AS s, dst AS kid, weight / 255.0 AS w2, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM e WHERE type = 'child') WHERE n <= 8),
 f AS (SELECT query_id, node AS seed, rank AS seed_rank, dst AS node, score * weight / 255.0 AS score, type AS relation FROM r JOIN e ON src = node WHERE type IN ('next', 'previous') AND rank <= 5
   UNION ALL SELECT query_id, node, rank, kid, score * weight / 255.0 * w2, 'section_child' FROM r JOIN e ON src = node JOIN k ON s = dst WHERE type = 'parent' AND rank <= 5),
@@ -852,15 +852,15 @@ y AS (SELECT query_id, node, max(score) AS score, 1 AS hops FROM x WHERE n <= 32
 z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, node)::INT AS rank FROM y)
 SELECT query_id, node, round(score, 6)::DOUBLE AS score, hops, rank FROM z WHERE rank <= 12""")
 def g02_expand(spark, sf):
-    c = table(spark, sf, "conversations").where("turn % 3 = 1")
+    c = table(spark, sf, "conversations").where("role = 'user'")
     hits = c.select(F.col("conv_id").alias("query_id"), F.concat_ws("/", "conv_id", "turn").alias("node"), (F.lit(1.0) / (1 + F.col("turn"))).alias("score"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("rank"))
     return R.expand(hits, _edges(spark, sf), 12).withColumn("score", F.round("score", 6))
 
 
-@query(_G + " SELECT src, dst, type, weight FROM e WHERE src IN (SELECT node FROM c WHERE turn = 1) AND dst IN (SELECT node FROM c WHERE conv_id % 2 = 0)")
+@query(_G + " SELECT src, dst, type, weight FROM e WHERE src IN (SELECT node FROM c WHERE role = 'user') AND dst IN (SELECT node FROM c WHERE role = 'assistant')")
 def g03_neighbors(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws("/", "conv_id", "turn").alias("node"))
-    return R.neighbours(_edges(spark, sf), c.where("turn = 1"), c.where("conv_id % 2 = 0"))
+    c = table(spark, sf, "conversations").select("role", F.concat_ws("/", "conv_id", "turn").alias("node"))
+    return R.neighbours(_edges(spark, sf), c.where("role = 'user'"), c.where("role = 'assistant'"))
 
 
 # -- memory ---------------------------------------------------------------------------------------------------------
