@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.scalar import bigrams, content_hash, set_similarity, token_overlap, tokens
+from tidewell.functions.scalar import bigrams, cased_tokens, content_hash, set_similarity, token_overlap, tokens
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -21,9 +21,9 @@ W_SECTION, W_CHUNK, W_SIBLING = 230, 217, 179
 
 def postings(chunks: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(term, id, tf) and (id, len): term counts are combined before the shuffle."""
-    words = chunks.select(F.col(id), tokens(F.col(text)).alias("_t"))
+    words = chunks.select(F.col(id), cased_tokens(F.col(text)).alias("_t"))
     lengths = words.select(id, F.size("_t").alias("len"))
-    counts = words.select(id, F.explode("_t").alias("term")).groupBy("term", id).agg(F.count("*").alias("tf"))
+    counts = words.select(id, F.explode("_t").alias("_w")).select(id, F.lower("_w").alias("term")).groupBy("term", id).agg(F.count("*").alias("tf"))
     return counts, lengths
 
 
@@ -33,9 +33,9 @@ def bm25(chunks: DataFrame, queries: DataFrame, n: int | None = None, id: str =
     Only the queries' terms are exploded from chunks (a join on distinct terms), so the shuffle is of matching postings.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    words = chunks.select(F.col(id).alias("_id"), tokens(F.col(text)).alias("_t"))
+    words = chunks.select(F.col(id).alias("_id"), cased_tokens(F.col(text)).alias("_t"))
     stats = words.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avg_len"))
-    found = words.select("_id", F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    found = words.select("_id", F.size("_t").alias("len"), F.explode("_t").alias("_w")).select("_id", "len", F.lower("_w").alias("term"))
     found = found.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     hits = found.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # one row
