@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +18,11 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    A null or empty text gets the model's bias for a score (0.5, so rejected, where nothing is labelled).  Rows are judged one
+    by one, so repeated rows stay or go together; null ids, languages and sources make no difference; no rows give no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_scores(docs.select(*COLUMNS), labels).where("predicted = 1").select(*COLUMNS)
 
@@ -38,12 +41,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data and the terms that disclose it replaced in the text."""
+    """Documents with personal data and the terms that disclose it replaced in the text.
+
+    A null text stays null and keeps its n_chars; every row stays, repeated ones and those without an id too; no rows give
+    no rows.
+    """
     return pii_clean(docs.select(*COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    A null text has size 0; null sources are one source, null ids one id.  Rows that agree in id, source and size share what
+    was taken of them evenly, the rest going by text (ties are equal rows); no rows give no rows.
+    """
     taken = cube_mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
     taken = saved(taken, "mix").withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"})
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
@@ -57,7 +68,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the token ids and the text decoded from them, of every document of the mix."""
+    """doc_id, n_tokens, the token ids and the text decoded from them, of every document of the mix.
+
+    A null text counts as empty (no ids, decoded ''); rows map one to one, so repeated rows and null ids stay; no rows give
+    no rows.
+    """
+    import public_tokenizers  # here, so that a missing vocabulary package stops this stage only
+
     return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids", "decoded"))
 
 
