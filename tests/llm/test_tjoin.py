@@ -140,3 +140,68 @@ def test_large_groups(spark, monkeypatch, n, sim, seed):
     got = jaccard_join(spark.createDataFrame(rows, SCHEMA).repartition(3), n, sim, block=3).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, n, *sim)
     assert len(asked) == 1 and asked[0].count() > 0
+
+
+def test_linked_sets_share_a_mark():
+    """Also where most shingles are common, and at any size."""
+    rng = np.random.default_rng(1)
+    ranks = np.where(rng.random(1 << 10) < 0.7, 3, 250).astype(np.uint8)
+    for num, den in ((90, 100), (80, 100), (60, 100)):
+        divide = Similarity(num, den, ranks)
+        divide.rare = 100
+        for trial in range(300):
+            a = np.unique(rng.integers(0, 2**64, rng.integers(1, 400), dtype=np.uint64))
+            if trial % 3 == 0:  # nearly all common
+                a = a[(ranks[(a % np.uint64(1 << 10)).astype(int)] > 100) | (rng.random(len(a)) < 0.1)]
+            b = a
+            while len(a):
+                c = np.delete(b, rng.integers(len(b))) if rng.random() < 0.5 and len(b) > 1 else np.union1d(b, rng.integers(0, 2**64, 1, dtype=np.uint64))
+                if not divide.linked(len(np.intersect1d(a, c)), len(a), len(c)):
+                    break
+                b = c
+            if not np.array_equal(a, b):
+                assert len(np.intersect1d(divide.marks(a), divide.marks(b)))
+
+
+def test_a_shared_shingle_makes_no_candidates(spark, monkeypatch):
+    """Documents that chain up by one shingle each are not searched, however badly the sketch tells what is rare."""
+    from tidewell.llm import tjoin
+
+    searched = []
+    plain = tjoin._sets
+    monkeypatch.setattr(tjoin, "_COUNTERS", (4, 4))
+    monkeypatch.setattr(tjoin, "_sets", lambda base, placed, n: (searched.append(placed.count()), plain(base, placed, n))[1])
+    rng = random.Random(0)
+    shared = [[f"s{rng.random()}" for _ in range(3)] for _ in range(81)]
+    rows = [(i, " ".join(shared[i] + [str(rng.random()) for _ in range(120)] + shared[i + 1])) for i in range(80)]
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i in range(80)]
+    assert searched == [0]
+
+
+def test_search_block_merges_no_lists_of_sets_that_cannot_link(monkeypatch):
+    from tidewell.llm import tjoin
+
+    merged = []
+    monkeypatch.setattr(tjoin, "merge_skip", lambda lists, least: (merged.append(len(lists)), merge_skip(lists, least))[1])
+    rng = np.random.default_rng(2)
+    most = rng.integers(0, 2**64, 275, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([most, rng.integers(0, 2**64, 25, dtype=np.uint64)])) for _ in range(20)]
+    assert search_block(sets, Similarity(90, 100)).tolist() == list(range(20)) and not merged
+    assert search_block([*sets, sets[3][5:]], Similarity(90, 100)).tolist() == [*range(20), 3] and merged
+
+
+@pytest.mark.parametrize("task, tables", [(4, None), (1 << 19, 2)])
+def test_components_of_one_task_and_of_many(spark, monkeypatch, task, tables):
+    """Few edges take two tables, the first forest and the whole one; the others go round by round."""
+    from tidewell.llm import components as c
+
+    wrote = []
+    plain = c.saved
+    monkeypatch.setattr(c, "_TASK", task)
+    monkeypatch.setattr(c, "saved", lambda df, what: (wrote.append(what), plain(df, what))[1])
+    edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (60, 61), (61, 60)]
+    got = c.components(spark.createDataFrame(edges, "x long, y long").repartition(5)).collect()
+    want = {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 140)}, 60: 60, 61: 60}
+    assert len(got) == len(want) and {r.id: r.component_id for r in got} == want
+    assert tables is None or len(wrote) == tables

@@ -1,8 +1,8 @@
 """Connected components over edge tables, without collecting links anywhere.
 
 Each task first contracts its edges to a spanning forest; a node's edges from all forests meet and are contracted again,
-as long as that saves a quarter of them.  Then labels flow over the remaining edges and along labels (pointer jumping)
-until none changes.  Every round ends in a table in the shared folder.
+as long as that saves a quarter of them.  Up to _TASK edges are left to one task, which ends it.  Of more, labels flow over
+the remaining edges and along labels (pointer jumping) until none changes.  Every round ends in a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import join_hot, saved, tidy
 
 _CHUNK = 1 << 20
-_TASK = 1 << 19  # edges of a task that contracts again
+_TASK = 1 << 19  # edges of a task that contracts again, fewer than _CHUNK
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,10 +72,13 @@ def components(edges: DataFrame) -> DataFrame:
     clean = edges.select(F.col(x).cast("long").alias("a"), F.col(y).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     small = saved(clean.mapInArrow(tidy(_contract), "a long, b long").distinct(), "forest")
     ends, before = small.count(), None
-    while ends and (before is None or 4 * ends < 3 * before):
+    while ends > _TASK and (before is None or 4 * ends < 3 * before):
         dealt = small.repartition(-(-ends // _TASK), "a")  # a forest has one edge for each of its nodes "a", so none is hot
         small = saved(dealt.mapInArrow(tidy(_contract), "a long, b long"), "forest")
         ends, before = small.count(), ends
+    if ends <= _TASK:
+        labels = saved(small.coalesce(1).mapInArrow(tidy(_contract), "a long, b long").select(F.col("a").alias("id"), F.col("b").alias("component_id")), "forest")
+        return labels.union(labels.select("component_id", "component_id").distinct())
     both = small.union(small.select("b", "a"))
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("lab"), F.count("*").alias("n")), "labels")
     ends, nodes = 2 * ends, labels.count()

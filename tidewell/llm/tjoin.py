@@ -1,13 +1,16 @@
 """Exact n-gram Jaccard join of documents by T-occurrence search (DivideSkip).
 
-1. Blocking, exact by prefixes.  In any one order of all shingles, two sets linked at similarity t share one of the first
-   n - ceil(t n) + 1 shingles of each.  Rare shingles come first, by a sketch of counts over all documents (of fixed size,
-   so it may misjudge; the order changes the number of candidates only), so passages that many documents share make no
-   candidates unless they are nearly the whole text.
-2. Documents that share such a shingle are candidates, and their components are groups (over star edges, no pairs are written).
+1. Blocking, exact by parts and prefixes.  Linked sets of some class of sizes differ in at most k shingles.  The hash space
+   is cut into k + 1 + m ranges, so m + 1 of the parts that these cut from two linked sets are equal.  A part with a rare
+   shingle is a key; other parts are none, so passages that many documents share make no candidates.  A set that has more
+   than m parts without one (see Similarity.marks) takes prefixes too: in any one order of all shingles, two sets linked at
+   similarity t share one of the first n - ceil(t n) + 1 of each; rare ones come first.  What is rare tells a sketch of
+   counts over all documents (of fixed size, so it may misjudge; this changes the number of candidates only).
+2. Documents that share a key are candidates, and their components are groups (over star edges, no pairs are written).
    A group is a block, or, if it is large, several blocks that have some sets in common.
 3. In a block, T-occurrence search decides: every set looks up its shingles' inverted lists, merges the short ones with a
    heap that skips, probes the long ones by binary search, and keeps sets that reach the overlap its similarity needs.
+   Sets whose bitmaps (see _bitmap) or sizes rule a link out are left out of the lists before.
    Only links between different components are searched, since the result is the components.
 4. Where the blocks of a large group leave sets apart, those that share a shingle of their prefixes meet again (see
    _search_open), so candidates that chain up without being linked cost what shares a shingle, not the group's square.
@@ -39,6 +42,8 @@ _SIZE, _EQUAL, _NEAR = 0, 1, 2  # kinds of rows: size of a set, equal sets, sets
 _COUNTERS = 22, 25  # powers of two: the sketch has from 4 to 32 megabytes
 _CHUNK = 1 << 16
 _BITS = 1024
+_KEYS = 3  # of a bucket's usual number of documents, how many times fewer a bucket takes, as a set has many keys
+_RARE = 4, 32  # a shingle is rare up to so many times the mean count of the sketch, and so many more
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -80,14 +85,53 @@ class Similarity:
 
     def __init__(self, num: int, den: int, ranks: np.ndarray | None = None):
         self.num, self.den, self.ranks = num, den, ranks
+        self.rare = 255
+        if ranks is not None:
+            mean = np.bincount(ranks, minlength=256) @ (2.0 ** (np.arange(256) / 16) - 1) / len(ranks)
+            self.rare = min(255, 16 * math.log2(1 + _RARE[0] * mean + _RARE[1]))
+        self.tops = [0]  # the largest size of each class
+
+    def _rank(self, s: np.ndarray) -> np.ndarray:
+        return self.ranks[(s % np.uint64(len(self.ranks))).astype(np.int64)]
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """The first n - ceil(t n) + 1 shingles of a set (of n, sorted) in order of rank and hash."""
         first = len(s) - -(-len(s) * self.num // self.den) + 1
         if self.ranks is not None and len(s):
-            s = s[np.argsort(self.ranks[(s % np.uint64(len(self.ranks))).astype(np.int64)], kind="stable")]
+            s = s[np.argsort(self._rank(s), kind="stable")]
         return s[:first]
 
+    def marks(self, s: np.ndarray) -> np.ndarray:
+        """Keys of a set (sorted, not empty): linked sets that are not equal share one.
+
+        Sizes in a class differ by less than the threshold's factor, so of two linked sets the smaller one's class is the
+        larger one's or the one before it; a set has keys for its own class and the next.  Linked sets of a class differ in
+        at most ``apart`` shingles, which spoil as many parts, so at least ``spare`` + 1 parts are equal.  If at most
+        ``spare`` parts of one set are without a rare shingle, an equal part has one and is a key of both.  Else both sets
+        have more such parts, and both have prefixes.
+        """
+        while self.tops[-1] < len(s) or len(self.tops) < 3:
+            self.tops.append((self.tops[-1] + 1) * self.den // self.num)
+        own = bisect.bisect_left(self.tops, len(s))
+        if own + 1 == len(self.tops):
+            self.tops.append((self.tops[-1] + 1) * self.den // self.num)
+        rare = np.ones(len(s), bool) if self.ranks is None else self._rank(s) <= self.rare
+        mixed, high = mix64(s ^ _ODD[2]), s >> np.uint64(32)
+        out, prefixes = [], False
+        for k in (own, own + 1):
+            apart = 2 * self.tops[k] * (self.den - self.num) // (self.den + self.num)
+            if not apart:  # linked sets are equal
+                continue
+            spare = apart // 8 + 2
+            parts = apart + 1 + spare
+            part = (high * np.uint64(parts)) >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            some = np.logical_or.reduceat(rare, starts)
+            with np.errstate(over="ignore"):
+                out.append(mix64(np.add.reduceat(mixed, starts)[some] + np.uint64(k) * _ODD[3]))
+            prefixes |= parts - len(out[-1]) > spare
+        return np.concatenate([*out, *([self.keys(s)] if prefixes else [])]) if out else np.zeros(0, np.uint64)
+
     def linked(self, common: int, a: int, b: int) -> bool:
         return self.den * common >= self.num * (a + b - common)
 
@@ -205,7 +249,7 @@ def _hash_sets(n: int, num: int, den: int, ranks, buckets: int):
                 keys.append(mix64(np.array([np.add.reduce(mix64(s ^ _ODD[1])) ^ np.uint64(len(s))], np.uint64)))
                 ids.append(np.array([doc], np.int64))
                 kinds.append(_EQUAL)
-                k = divide.keys(s)
+                k = divide.marks(s)
                 keys.append(k)
                 ids.append(np.full(len(k), doc, np.int64))
                 kinds.append(_NEAR)
@@ -276,7 +320,7 @@ def search_block(sets: list[np.ndarray], divide: Similarity, label: np.ndarray |
 
     ``label``: components that are known already.  DivideSkip: a set's short inverted lists are merged by a heap that skips
     what cannot occur often enough, its long ones are probed by binary search.  A set in the searching one's own
-    component is no candidate any more, as only components are asked for.
+    component is no candidate any more, as only components are asked for, nor is one whose size or bitmap rules a link out.
     """
     n = len(sets)
     label = np.arange(n) if label is None else label.copy()
@@ -295,9 +339,16 @@ def search_block(sets: list[np.ndarray], divide: Similarity, label: np.ndarray |
     of[by] = (np.cumsum(new) - 1).astype(np.int32)
     del tokens, by, new
     ends = np.cumsum(sizes)
+    bits = np.stack([_bitmap(s) for s in sets]).view(np.uint64)
     for i in np.argsort(sizes, kind="stable")[::-1]:
         size = int(sizes[i])
-        need = -(-size * divide.num // divide.den)  # sets up to this one's size; larger ones search themselves
+        fits = (label != label[i]) & (sizes <= size) & (sizes * divide.den >= divide.num * size)  # larger sets search themselves
+        near = np.flatnonzero(fits)
+        differ = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
+        fits[near] = differ * (divide.num + divide.den) <= (sizes[near] + size) * (divide.den - divide.num)
+        if not fits.any():
+            continue
+        need = -(-size * divide.num // divide.den)
         mine = of[ends[i] - size : ends[i]]
         mine = mine[lengths[mine] > 1]
         if len(mine) < need:
@@ -307,7 +358,7 @@ def search_block(sets: list[np.ndarray], divide: Similarity, label: np.ndarray |
         n_long = min(need - 1, int(need / (_MU * math.log2(max(2, len(own[-1]))) + 1)))
         short, long = own[: len(own) - n_long], own[len(own) - n_long :]
         found = np.concatenate(short)
-        fits = (label[found] != label[i]) & (sizes[found] <= size) & (sizes[found] * divide.den >= divide.num * size)
+        fits = fits[found]
         if not fits.any():
             continue
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in short])])
@@ -374,7 +425,7 @@ def jaccard_join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90,
     num, den = similarity
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_docs, letters = base.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    buckets = max(16, -(-n_docs // bucket_docs) * 16)
+    buckets = max(16, -(-n_docs * _KEYS // bucket_docs) * 16)
     counters = 1 << min(_COUNTERS[1], max(_COUNTERS[0], (letters // 64).bit_length()))  # about a counter for ten shingles
     ranks = spark.sparkContext.broadcast(shingle_ranks(base, n, counters))
     packed = base.mapInArrow(tidy(_hash_sets(n, num, den, ranks, buckets)), _BLOB).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
