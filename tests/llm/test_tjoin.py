@@ -205,3 +205,14 @@ def test_components_of_one_task_and_of_many(spark, monkeypatch, task, tables):
     want = {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 140)}, 60: 60, 61: 60}
     assert len(got) == len(want) and {r.id: r.component_id for r in got} == want
     assert tables is None or len(wrote) == tables
+
+
+def test_functions_for_workers_carry_no_tables():
+    from pyspark import cloudpickle
+
+    from tidewell.llm import common
+
+    common.powers(10)
+    assert len(cloudpickle.dumps(common.tidy(Shingler(3)))) < 100_000
+    sent = cloudpickle.loads(cloudpickle.dumps(common.tidy(lambda batches: batches)))
+    assert list(sent([1])) == [1] and not common._POWERS
