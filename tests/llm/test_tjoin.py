@@ -216,3 +216,16 @@ def test_functions_for_workers_carry_no_tables():
     assert len(cloudpickle.dumps(common.tidy(Shingler(3)))) < 100_000
     sent = cloudpickle.loads(cloudpickle.dumps(common.tidy(lambda batches: batches)))
     assert list(sent([1])) == [1] and not common._POWERS
+
+
+def test_keys_of_large_groups_come_with_labels(spark, monkeypatch):
+    """Labels meet documents, not each of their keys, of which a large group has very many."""
+    from tidewell.llm import tjoin
+
+    wrote = {}
+    plain = tjoin.saved
+    monkeypatch.setattr(tjoin, "_ANCHORS", 1)
+    monkeypatch.setattr(tjoin, "saved", lambda df, what: wrote.setdefault(what, plain(df, what)) if what == "keys" else plain(df, what))
+    rows = data(3)
+    jaccard_join(spark.createDataFrame(rows, SCHEMA).repartition(3), 3, block=3)
+    assert {"id", "label", "key"} <= set(wrote["keys"].columns) and wrote["keys"].where("key is not null and label is not null").count() > 0

@@ -536,18 +536,18 @@ def _search_open(base: DataFrame, large: DataFrame, comps: DataFrame, n: int, nu
     def draw(batches):
         """Keys, with those before them, and bitmaps (with a null key) of documents."""
         divide, shingle = Similarity(num, den, ranks.value), Shingler(n)
-        types = [("id", pa.int64()), ("key", pa.int64()), ("prev", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())]
+        types = [("id", pa.int64()), ("label", pa.int64()), ("key", pa.int64()), ("prev", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())]
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if len(s := shingle(text.as_py())):
                     k = divide.keys(s)
                     keys = [None, *k.view(np.int64).tolist()]
-                    columns = [doc] * len(keys), keys, [None, *keys[:-1]], [len(s)] + [None] * len(k), [_bitmap(s).tobytes()] + [None] * len(k)
+                    columns = [doc] * len(keys), [label] * len(keys), keys, [None, *keys[:-1]], [len(s)] + [None] * len(k), [_bitmap(s).tobytes()] + [None] * len(k)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types)], [c for c, _ in types])
 
-    some = maybe_in(base, "doc_id", left, "_id").where("_maybe").select("doc_id", "text")
-    drawn = saved(some.mapInArrow(draw, "id long, key long, prev long, size long, bits binary"), "keys")
-    keyed = drawn.where("key is not null").join(left, F.col("id") == F.col("_id")).select("id", "key", "prev", "label")
+    some = maybe_in(base, "doc_id", left, "_id").where("_maybe").join(left, F.col("doc_id") == F.col("_id")).select("_id", "label", "text")
+    drawn = saved(some.mapInArrow(draw, "id long, label long, key long, prev long, size long, bits binary"), "keys")
+    keyed = drawn.where("key is not null").select("id", "key", "prev", "label")
     both = F.array(F.struct(F.lit(0).alias("by"), F.col("label").alias("of")), F.struct(F.lit(1).alias("by"), F.col("prev").alias("of")))
     per = keyed.select("key", F.explode(both).alias("class")).groupBy("key", "class.by", "class.of").agg(F.count("*").alias("n"))
     labels = F.sum(F.when(F.col("by") == 0, 1).otherwise(0))
