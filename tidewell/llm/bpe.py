@@ -1,14 +1,16 @@
 """BPE encoding and decoding with a contiguous rank array per short word.
 
-A word's part boundaries and the rank of each adjacent pair lie in two flat lists; the smallest rank is found by a scan,
-its boundary is deleted and the two neighbouring ranks are refreshed.  Words of over ``LONG`` parts take a heap with the
+A word's parts and the rank of each adjacent pair (with the merged id in its low bits) lie in two flat lists; the smallest
+rank is found by a scan, its boundary is deleted and the two neighbouring ranks are refreshed.  Words of over ``LONG`` parts take a heap with the
 same order of merges (smallest rank, then leftmost), since scans would be quadratic there.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
+import itertools
 import json
 import unicodedata
 
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import tidy
 
 LONG = 256
-_CACHE_ENTRIES = 200_000
+_CACHE_ENTRIES = 100_000  # of each half
 _NONE = 1 << 60
+_ID = 24  # low bits of a rank, which hold the merged id
 #: The characters with the Unicode property White_Space, as a regex class.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE_RUN = regex.compile(f"[{_SPACES}]+")
@@ -37,44 +40,44 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
-def merge_word(parts: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Ids of a word given as first ids; ``ranks`` gives (rank, merged id) of a pair."""
+def merge_word(parts: list[int], ranks: dict[tuple[int, int], int], ids: list[int]) -> list[int]:
+    """Ids of a word given as first ids; ``ranks`` gives rank << _ID | merged id of a pair, ``ids`` the one object of each id."""
     if len(parts) > LONG:
-        return _merge_long(parts, ranks)
-    none = (_NONE, 0)
-    near = [ranks.get(p, none)[0] for p in zip(parts, parts[1:])]
+        return _merge_long(parts, ranks, ids)
+    rank, low_bits = ranks.get, (1 << _ID) - 1
+    near = [*map(rank, zip(parts, parts[1:]), itertools.repeat(_NONE))]
     while near:
         low = min(near)
         if low == _NONE:
             break
         i = near.index(low)
-        parts[i] = ranks[parts[i], parts[i + 1]][1]
+        parts[i] = new = ids[low & low_bits]
         del parts[i + 1], near[i]
         if i < len(near):
-            near[i] = ranks.get((parts[i], parts[i + 1]), none)[0]
+            near[i] = rank((new, parts[i + 1]), _NONE)
         if i:
-            near[i - 1] = ranks.get((parts[i - 1], parts[i]), none)[0]
+            near[i - 1] = rank((parts[i - 1], new), _NONE)
     return parts
 
 
-def _merge_long(parts: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def _merge_long(parts: list[int], ranks: dict[tuple[int, int], int], ids: list[int]) -> list[int]:
     n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r[0], i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := ranks.get((a, b)))]
+    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := ranks.get((a, b))) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, a, b = heapq.heappop(heap)
+        r, i, a, b = heapq.heappop(heap)
         j = after[i] if parts[i] is not None else n
         if j >= n or parts[i] != a or parts[j] != b:
             continue
-        parts[i], parts[j] = ranks[a, b][1], None
+        parts[i], parts[j] = ids[r & ((1 << _ID) - 1)], None
         after[i] = after[j]
         if after[j] < n:
             before[after[j]] = i
-            if r := ranks.get((parts[i], parts[after[i]])):
-                heapq.heappush(heap, (r[0], i, parts[i], parts[after[i]]))
-        if (h := before[i]) >= 0 and (r := ranks.get((parts[h], parts[i]))):
-            heapq.heappush(heap, (r[0], h, parts[h], parts[i]))
+            if (r := ranks.get((parts[i], parts[after[i]]))) is not None:
+                heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
+        if (h := before[i]) >= 0 and (r := ranks.get((parts[h], parts[i]))) is not None:
+            heapq.heappush(heap, (r, h, parts[h], parts[i]))
     return [p for p in parts if p is not None]
 
 
@@ -90,32 +93,51 @@ class WordBpe:
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.special_ids = set(self.special.values())
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ids = list(range(1 + max(self.vocab.values(), default=0)))
+        at = lambda t: self.ids[self.vocab[t]]
+        self.ranks = {(at(a), at(b)): rank << _ID | self.vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         letters = byte_letters()
-        self.inner = [self.vocab[c] for c in letters]
-        self.last = [self.vocab[c + self.suffix] for c in letters]
+        self.inner = [at(c) for c in letters]
+        self.last = [at(c + self.suffix) for c in letters]
         self._split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self._chunks: dict[str, tuple[list[int], int, str, str]] = {}
-
-    def _ids(self, chunk: str) -> list[int]:
-        """Ids of text without white space or special tokens."""
-        text = unicodedata.normalize("NFC", chunk)
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        out: list[int] = []
-        for word in _WORD.findall(text):
+        self.forget()
+
+    def _keep(self, key: str, found: tuple[list[int], int, str, str]) -> tuple[list[int], int, str, str]:
+        """Caches an entry.  When the young half is full it becomes the old one, whose entries go unless used meanwhile."""
+        if len(key) <= 64:  # so that the entries are some 100 MB at most
+            if len(self._young) >= _CACHE_ENTRIES:
+                self._young, self._old = {}, self._young
+            self._young[key] = found
+        return found
+
+    def _word(self, word: str) -> tuple[list[int], int, str, str]:
+        """The entry of a word in lower case; an ASCII word is a chunk too, others have a key that is none."""
+        key = word if word.isascii() else " " + word
+        if found := self._young.get(key):
+            return found
+        if not (found := self._old.get(key)):
             raw = word.encode("utf-8", "surrogatepass")
-            out += merge_word([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]], self.ranks)
-        return out
+            ids = merge_word([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]], self.ranks, self.ids)
+            found = ids, len(ids), " ".join(map(str, ids)), self.decode(ids)
+        return self._keep(key, found)
 
     def _chunk(self, chunk: str) -> tuple[list[int], int, str, str]:
-        """Ids, their number, the ids in decimal, and the decoded tokens of text without white space."""
-        ids = self._ids(chunk)
-        found = ids, len(ids), " ".join(map(str, ids)), self.decode(ids)
-        if len(self._chunks) >= _CACHE_ENTRIES:
-            self._chunks.clear()
-        if len(chunk) <= 64:  # so that the entries are some 100 MB at most
-            self._chunks[chunk] = found
-        return found
+        """Ids, their number, the ids in decimal, and the decoded tokens of text without white space or special tokens."""
+        if found := self._old.get(chunk):
+            return self._keep(chunk, found)
+        if chunk.isascii():
+            text = chunk.lower()
+            if text.isalpha():
+                found = self._word(text)
+                return found if text == chunk else self._keep(chunk, found)
+        else:
+            text = unicodedata.normalize("NFC", chunk)
+            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        words = [self._word(w) for w in _WORD.findall(text)]
+        if len(words) == 1:
+            return self._keep(chunk, words[0])
+        ids = [i for w in words for i in w[0]]
+        return self._keep(chunk, (ids, len(ids), " ".join([w[2] for w in words]), " ".join([w[3] for w in words])))
 
     def pieces(self, text: str) -> list[tuple[list[int], int, str, str]]:
         """The text's chunks between white space, encoded; chunks without a token are left out."""
@@ -132,12 +154,11 @@ class WordBpe:
 
     def _plain(self, text: str) -> list[tuple[list[int], int, str, str]]:
         chunks = text.split() if not _NOT_SPACE.search(text) else [c for c in _SPACE_RUN.split(text) if c]
-        known = self._chunks
-        return [p for c in chunks if (p := known.get(c) or self._chunk(c))[1]]
+        return [p for c in chunks if (p := self._young.get(c) or self._chunk(c))[1]]
 
     def forget(self) -> None:
-        """Drops the chunks encoded so far, which a worker would keep after its task."""
-        self._chunks = {}
+        """Drops the chunks and words encoded so far, which a worker would keep after its task."""
+        self._young, self._old = {}, {}
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pieces(text) for i in p[0]]
@@ -198,9 +219,11 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[
     @tidy
     def run(batches):
         bpe = load(spec.value)
+        gc.disable()  # nothing here makes cycles, and collections would go through the cache again and again
         try:
             yield from encoded(bpe, batches)
         finally:
+            gc.enable()
             bpe.forget()
 
     def encoded(bpe, batches):
