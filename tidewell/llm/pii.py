@@ -101,35 +101,40 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
 
 
-def disclosing_terms(rows: DataFrame, entities: DataFrame, alpha: float) -> DataFrame:
+def disclosing_terms(rows: DataFrame, own: DataFrame, entities: DataFrame, alpha: float) -> DataFrame:
     """(key, terms): the terms to remove from each text that holds an entity they disclose.
 
-    ``rows``: key, text, a row for each different text.  ``entities``: key, c.  Counts are taken over all rows.  A pair
-    of fewer texts than 1 / (alpha - 1) cannot pass, nor can one whose largest possible count is too small, so such
-    entities, terms and pairs are left out early; this changes no result.
+    ``rows``: text, a row for each different text.  ``own``: key, text of those that hold entities.  ``entities``: key, c.
+    Counts are taken over all rows.  A pair of fewer texts than 1 / (alpha - 1) cannot pass, nor can one whose largest
+    possible count is too small, so such entities, terms and pairs are left out early; this changes no result.
     """
     least = math.ceil(1 / (alpha - 1) - 1e-9)
     n_c = saved(entities.groupBy(F.col("c").alias("_c")).agg(F.count("*").alias("n_c")).where(F.col("n_c") >= least), "counts")
     held = saved(join_hot(entities, "c", n_c, "_c", "n_c").select("key", "c", "n_c"), "entities")
-    keys = held.select(F.col("key").alias("k")).distinct()
-    some = maybe_in(rows, "key", keys, "k").where("_maybe")  # other texts stay out of the shuffle
-    words = saved(some.join(keys, F.col("key") == F.col("k")).select("key", F.explode(_terms(F.col("text"))).alias("t")), "words")
+    words = saved(own.select("key", F.explode(_terms(F.col("text"))).alias("t")), "words")
     seen = saved(words.groupBy(F.col("t").alias("asked")).agg(F.count("*").alias("n_own")).where(F.col("n_own") >= least), "asked")
     every = rows.select(F.explode(_terms(F.col("text"))).alias("t"))
     if seen.count() <= _BROADCAST_TERMS:  # checked; beyond it all words are counted, combined before the shuffle
         every = every.join(F.broadcast(seen), F.col("t") == F.col("asked"), "left_semi")
-    n_t = saved(every.groupBy("t").agg(F.count("*").alias("n_t")).join(seen, F.col("t") == F.col("asked")).select("asked", "n_own", "n_t"), "terms")
     n = float(rows.count())
 
-    def discloses(n_ct: Column) -> Column:
-        tells = F.log2(F.lit(n) * n_ct / (F.col("n_c") * F.col("n_t"))) * n_ct / (n_ct + 1)
-        return tells >= F.log2(F.lit(n) / F.col("n_c")) / F.lit(float(alpha)) - 1e-9
-
-    counted = join_hot(words, "t", n_t, "asked", "n_own").select(F.col("key").alias("k"), "t", "n_own", "n_t")
-    pairs = counted.join(held, (F.col("k") == F.col("key")) & discloses(F.least("n_c", "n_own")))
+    def discloses(n_ct: Column, n_c: Column) -> Column:
+        tells = F.log2(F.lit(n) * n_ct / (n_c * F.col("n_t"))) * n_ct / (n_ct + 1)
+        return tells >= F.log2(F.lit(n) / n_c) / F.lit(float(alpha)) - 1e-9
+
+    # of all entities, one of as many texts as the term's own would be disclosed most easily: tells - IC / alpha grows with
+    # n(c) = n(c, t) up to there and, as own >= 1 / (alpha - 1), falls with n(c) beyond
+    n_t = every.groupBy("t").agg(F.count("*").alias("n_t")).join(seen, F.col("t") == F.col("asked")).select("asked", "n_own", "n_t")
+    n_t = saved(n_t.where(discloses(F.col("n_own"), F.col("n_own"))), "terms")
+    if n_t.count() <= _BROADCAST_TERMS:  # checked too
+        counted = words.join(F.broadcast(n_t), F.col("t") == F.col("asked"))
+    else:
+        counted = join_hot(words, "t", n_t, "asked", "n_own")
+    counted = counted.select(F.col("key").alias("k"), "t", "n_own", "n_t")
+    pairs = counted.join(held, (F.col("k") == F.col("key")) & discloses(F.least("n_c", "n_own"), F.col("n_c")))
     pairs = saved(pairs.select("key", "c", "n_c", "t", "n_t", F.concat_ws(" ", "t", "c").alias("pair")), "pairs")
     flagged = pairs.groupBy(F.col("pair").alias("_pair")).agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
-    flagged = saved(flagged.where((F.col("n_ct") >= least) & discloses(F.col("n_ct"))).select("_pair", "n_ct"), "flagged")
+    flagged = saved(flagged.where((F.col("n_ct") >= least) & discloses(F.col("n_ct"), F.col("n_c"))).select("_pair", "n_ct"), "flagged")
     hit = join_hot(pairs.select("key", "t", "pair"), "pair", flagged, "_pair", "n_ct")
     return hit.groupBy("key").agg(F.array_sort(F.collect_set("t")).alias("terms"))
 
@@ -139,22 +144,31 @@ def _all_spans(docs: DataFrame, alpha: float) -> tuple[DataFrame, DataFrame]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("raw"), text.alias("text"))
     rows = rows.withColumn("key", F.sha2(F.col("text"), 256))
-    found = saved(rows.select(F.col("row.doc_id").alias("doc_id"), "key", *[spans(k, F.col("text")).alias(k) for k in PATTERNS]), "spans")
+    shown = F.when(sum(F.size(k) for k in PATTERNS) > 0, F.col("text")).alias("own")  # few texts, read instead of all below
+    found = rows.select(F.col("row.doc_id").alias("doc_id"), "key", "text", *[spans(k, F.col("text")).alias(k) for k in PATTERNS])
+    found = saved(found.select("doc_id", "key", *PATTERNS, shown), "spans")
+    private = found.where("own is not null")
     kinds = F.filter(F.array(F.lit("any"), *[F.when(F.size(k) > 0, F.lit(k)) for k in PATTERNS]), lambda k: k.isNotNull())
     values = F.array_distinct(F.concat(*map(_entities, PATTERNS), kinds))
-    entities = found.where(" or ".join(f"size({k}) > 0" for k in PATTERNS)).groupBy("key").agg(F.first(values).alias("cs")).select("key", F.explode("cs").alias("c"))
-    copies = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("many"))
-    copies = saved(copies, "copies")
-    split = maybe_in(rows.select("key", "text"), "key", copies, "many")
-    some = split.where("_maybe").drop("_maybe")
-    once = split.where("not _maybe").drop("_maybe").unionByName(some.join(copies, F.col("key") == F.col("many"), "left_anti"))
-    again = some.join(copies, F.col("key") == F.col("many"), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    terms = saved(disclosing_terms(once.unionByName(again), entities, alpha), "terms")
+    copies = saved(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("many")), "copies")
+
+    def different(df: DataFrame) -> DataFrame:
+        """A row for each key; those without copies stay where they are."""
+        split = maybe_in(df, "key", copies, "many")
+        once = split.where("not _maybe").select(df.columns)
+        first = [F.first(c).alias(c) for c in df.columns if c != "key"]
+        return once.unionByName(saved(split.where("_maybe").groupBy("key").agg(*first).select(df.columns), "different"))
+
+    own = different(private.select("key", F.col("own").alias("text"), values.alias("cs")))
+    entities = own.select("key", F.explode("cs").alias("c"))
+    texts = different(rows.select("key", "text"))
+    terms = saved(disclosing_terms(texts, own.select("key", "text"), entities, alpha), "terms")
     gone = terms.select(F.col("key").alias("k"), "terms")
-    hit = maybe_in(rows.select("key", "text"), "key", gone, "k").where("_maybe").join(gone, F.col("key") == F.col("k")).groupBy("key").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
+    hit = own.select("key", "text").join(gone, F.col("key") == F.col("k"))
     placed = _fold(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.split("text", _WORD, -1), lambda v: F.array_contains(F.col("terms"), F.lower(v)))
     term_spans = saved(hit.select(F.col("key").alias("k"), placed.alias("term")), "termspans")
-    out = found.join(term_spans, F.col("key") == F.col("k"), "left").drop("k")
+    out = private.join(term_spans, F.col("key") == F.col("k"), "left").drop("k", "own")  # other texts have no terms
+    out = out.unionByName(found.where("own is null").drop("own").withColumn("term", F.lit(None).cast(_SPAN)))
     base = F.concat(*[F.col(k) for k in PATTERNS])
     clear = F.filter(F.coalesce("term", F.array().cast(_SPAN)), lambda t: ~F.exists(base, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
     return rows, out.withColumn("term", clear)
