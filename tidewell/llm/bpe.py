@@ -169,18 +169,6 @@ class WordBpe:
         return " ".join([known[i] for i in ids if i in known and not (skip_special_tokens and i in self.special_ids)])
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
-def load(spec: str) -> WordBpe:
-    """The vocabulary of ``spec``, parsed once in a worker process."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordBpe(spec)
-    return _LOADED[key]
-
-
 #: Output columns and their types.
 OUTPUTS = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded": pa.string(), "decoded_sha256": pa.string()}
 _DDL = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
@@ -218,13 +206,12 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[
 
     @tidy
     def run(batches):
-        bpe = load(spec.value)
+        bpe = WordBpe(spec.value)  # a tenth of a second; kept after the task it would lie in idle workers
         gc.disable()  # nothing here makes cycles, and collections would go through the cache again and again
         try:
             yield from encoded(bpe, batches)
         finally:
             gc.enable()
-            bpe.forget()
 
     def encoded(bpe, batches):
         makers = {
